@@ -121,7 +121,7 @@ def lost_spans(raw: bytes, ends: list[int], digests: list[int], lost: set[int],
     return spans
 
 
-def dedup_substrings(docs: DataFrame, least_words: int = 25, how: Chunking | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least_words: int = 16, how: Chunking | None = None) -> DataFrame:
     """docs with kept_text, spans (start and end in bytes of what went), and n_lost_words.
 
     Rows with one doc_id count as one document, and what repeats within a document
