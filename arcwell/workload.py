@@ -138,5 +138,5 @@ def to_sql(text: str, id_of: Callable) -> str:
     body = f"FROM {tables}" + (f" WHERE {' AND '.join(where)}" if where else "")
     if query.mode in ("count", "duplicates"):
         groups = ", ".join(place[v] for v in query.output())
-        return f"SELECT {columns}, count(*) AS \"count\" {body} GROUP BY {groups}" + (" HAVING count(*) > 1" if query.mode == "duplicates" else "")
+        return f"SELECT {columns}, count(*) AS count {body} GROUP BY {groups}" + (" HAVING count(*) > 1" if query.mode == "duplicates" else "")
     return f"SELECT {'DISTINCT ' if query.mode in ('distinct', 'reduced') else ''}{columns} {body}"
