@@ -10,8 +10,9 @@ checksums leave out.  The last frame takes the smallest rate that holds what is
 left, so streams have a variable bitrate.
 
 The reader takes any bytes.  It skips tags at both ends, looks for a frame header
-that the next header or the end of the audio confirms, walks frame by frame, and
-where one breaks off looks for the next such header, counting what it skipped.  It
+that the next header or the end of the audio confirms, walks from frame to frame
+of the same kind, and where none follows looks for the next confirmed header,
+counting what it skipped.  It
 handles MPEG 1, 2 and 2.5, layers I to III, the two kinds of rate tables, and
 checks the CRC of layer III frames.  Durations are exact, as samples over rate.
 """
@@ -243,17 +244,19 @@ def read(data: bytes | None) -> Stream:
     """All frames of a file; a null or a file without frames gives an empty stream."""
     out, data = Stream(), data or b""
     at, end = _tags(data, out)
-    first, synced = True, False
+    first, last = True, None
     while at < end:
-        h = header(data[at : at + 4]) if synced else _confirmed(data, at, end)
+        h = header(data[at : at + 4])
+        if h is None or last is None or (h.version, h.layer, h.rate) != (last.version, last.layer, last.rate):
+            h = _confirmed(data, at, end)
         if h is None or at + h.size > end:
-            synced = False
+            last = None
             following = data.find(b"\xff", at + 1, end)
             following = end if following < 0 else following
             out.skipped += following - at
             at = following
             continue
-        synced = True
+        last = h
         if h.protected and h.layer == 3:
             out.crc_checked += 1
             out.crc_failed += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
