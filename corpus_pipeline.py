@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcwell.llm import line_dedup, packing, quality, simhash, substrings
 from arcwell.llm.common import kept
+from arcwell.shipping import ship
 
 
 def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -17,6 +18,7 @@ def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels)
     return quality.score(docs, model, "_score").where(F.col("_score") >= 0.3).select(*docs.columns)
@@ -24,21 +26,25 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents hold stay in the first of them."""
+    ship(spark)
     return _with_text(docs, line_dedup.dedup_lines(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ship(spark)
     return simhash.one_of_each(docs)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that several documents hold stay in the first of them."""
+    ship(spark)
     return _with_text(docs, substrings.dedup_substrings(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences."""
+    ship(spark)
     return packing.pack_documents(docs)
 
 
