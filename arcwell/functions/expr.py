@@ -50,6 +50,8 @@ def atof(text: Column) -> Column:
 
 def general_format(x: Column) -> Column:
     """A double with six significant digits, as C's %g writes it."""
+    # as texts: comparing with infinite constants breaks the compilation of generated code
+    shown = x.cast("string")
     parts = F.split(F.format_string("%.5e", x), "e")
     mantissa, exponent = parts[0], parts[1].cast("int")
 
@@ -62,8 +64,8 @@ def general_format(x: Column) -> Column:
     return (
         F.when(x.isNull(), None)
         .when(F.isnan(x), "nan")
-        .when(x == float("inf"), "inf")
-        .when(x == float("-inf"), "-inf")
+        .when(shown == "Infinity", "inf")
+        .when(shown == "-Infinity", "-inf")
         .when(x == 0, "0")
         .when((exponent >= -4) & (exponent < 6), fixed)
         .otherwise(wide)

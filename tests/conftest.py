@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from arcwell.shipping import ship  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -19,6 +21,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()
     )
+    ship(session)
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
