@@ -228,6 +228,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest; rows with one doc_id stay or go together."""
-    stay = near_components(docs, words, radius).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"] == F.col("_stay"), "left_semi")
+    """The rows of docs whose doc_id is their component's smallest.
+
+    Rows with one doc_id are one document and stay or go together; rows without a
+    doc_id stay.
+    """
+    found = near_components(docs.select("doc_id", "text"), words, radius)
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
+    met = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left")
+    return met.where(F.col("_stay").isNotNull() | F.col("doc_id").isNull()).drop("_stay")

@@ -1,3 +1,4 @@
+import shutil
 from pathlib import Path
 
 import pytest
@@ -21,3 +22,23 @@ def test_stages_follow_each_other(spark):
             assert docs.columns == columns and len(now) == len(before)
             docs = spark.createDataFrame(now, docs.schema)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, FOLDER).collect()} == before
+
+
+CASES = [(1, None, "a"), (2, "", "b"), (None, "no id " * 40, "c"), (3, "word " * 30000, "d"), (4, "same text as another " * 20, "e"), (5, "same text as another " * 20, "f"), (5, "same text as another " * 20, "f")]
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
+@pytest.mark.parametrize("rows", [CASES, []])
+def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path, rows):
+    clash = ["kept_text", "score", "_lost", "_stay", "digest", "spans", "fp", "n_lines", "bucket", "h1", "owner", "_key", "a.b"]
+    docs = spark.createDataFrame([(d, t, x, None, *[x] * len(clash)) for d, t, x in rows], "doc_id long, text string, lang string, n_chars int, " + ", ".join(f"`{c}` string" for c in clash))
+    shutil.copy(FOLDER + "/labels.parquet", tmp_path / "labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name == "packing":
+            assert sum(r["length"] for r in got) > 0 or not rows
+            continue
+        assert out.columns == docs.columns and all(r[c] == r["lang"] for r in got for c in clash)
+        assert {r["doc_id"] for r in got} == ({1, None, 3, 4} if name == "near copies" else {r[0] for r in rows}) if rows else not got
+    assert corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).count() <= len(rows)
