@@ -1,4 +1,9 @@
-"""A corpus in five stages: each works on all that the one before kept."""
+"""A corpus in five stages: each works on all that the one before kept.
+
+Null texts count as empty, and come back as empty ones from the stages that change
+texts.  Documents without a doc_id keep their lines and passages and stay.  Rows
+with one doc_id are one document.  Further columns pass through under any name.
+"""
 
 from __future__ import annotations
 
@@ -10,36 +15,48 @@ from arcwell.llm.common import kept
 from arcwell.shipping import ship
 
 
-def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The columns of docs with kept_text as text and its length as n_chars."""
-    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return changed.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with all columns but doc_id and text under names that clash with none of an operator's."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"column{k}") for k, c in enumerate(docs.columns)])
+
+
+def _named(docs: DataFrame, out: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of docs from what an operator made of _plain(docs); a text that it changed also sets n_chars."""
+
+    def column(k: int, c: str):
+        if c == "text":
+            return F.col(text)
+        if c == "n_chars" and text != "text":
+            return F.char_length(text).cast(docs.schema[c].dataType)
+        return F.col(c if c == "doc_id" else f"column{k}")
+
+    return out.select(*[column(k, c).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(docs, labels)
-    return quality.score(docs, model, "_score").where(F.col("_score") >= 0.3).select(*docs.columns)
+    model = quality.fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
+    return _named(docs, quality.score(_plain(docs), model).where(F.col("score") >= 0.3))
 
 
 def without_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents hold stay in the first of them."""
     ship(spark)
-    return _with_text(docs, line_dedup.dedup_lines(docs))
+    return _named(docs, line_dedup.dedup_lines(_plain(docs)), "kept_text")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     ship(spark)
-    return simhash.one_of_each(docs)
+    return _named(docs, simhash.one_of_each(_plain(docs)))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that several documents hold stay in the first of them."""
     ship(spark)
-    return _with_text(docs, substrings.dedup_substrings(docs))
+    return _named(docs, substrings.dedup_substrings(_plain(docs)), "kept_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
