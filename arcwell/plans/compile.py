@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from arcwell.functions.expr import Compiler
 from arcwell.operators import solutions as op
 from arcwell.plans import optimizer
-from arcwell.plans.parser import Expr, Group, Pattern, Query, Reach, TableFunction, Var, parse
+from arcwell.plans.parser import Expr, Group, Pattern, Query, Reach, Star, TableFunction, Var, parse
 from arcwell.terms import TERM, Term, rendered
 
 
@@ -75,7 +75,7 @@ class Plan:
 
     # groups
 
-    def _scan(self, pattern: Pattern, depth: int) -> Rows | None:
+    def _scan(self, pattern: Pattern | Star, depth: int) -> Rows | None:
         df = self.graph.scan(pattern)
         if df is None:
             return None
@@ -87,18 +87,31 @@ class Plan:
                     said += f" within index of ?{name}"
         keep = [v for v in op.variables(df) if v in self._used]
         if self.options.aggregate and self.query.mode != "all" and len(keep) < len(op.variables(df)):
-            if self.query.mode in ("count", "duplicates") or not keep:
-                df = op.counted(df, keep).where(F.col(op.N) > 0)
-                said += " counted"
+            if not keep or self._repeats(pattern, keep):
+                if self.query.mode in ("count", "duplicates") or not keep:
+                    df = op.counted(df, keep).where(F.col(op.N) > 0)
+                    said += " counted"
+                else:
+                    df = df.select(*keep).distinct()
+                    said += " distinct"
             else:
-                df = df.select(*keep).distinct()
-                said += " distinct"
+                df = df.select(*keep, *([op.N] if op.N in df.columns else []))
         self._note(depth, said)
         return Rows(df, set())
 
+    def _repeats(self, pattern: Pattern | Star, keep: list[str]) -> bool:
+        """Whether the kept variables repeat enough for an aggregate before the joins to pay."""
+        size = self.graph.size(pattern)
+        groups = 1.0
+        for v in keep:
+            groups *= size.values.get(v, size.rows)
+        return groups < 0.5 * size.rows
+
     def group(self, group: Group, depth: int = 0) -> Rows | None:
         """Solutions of a group; None if it is known to be empty."""
-        patterns = optimizer.order(group.patterns, self.graph.size) if self.options.reorder else group.patterns
+        patterns = self.graph.stars(group.patterns) if hasattr(self.graph, "stars") else group.patterns
+        if self.options.reorder:
+            patterns = optimizer.order(patterns, self.graph.size)
         rows: Rows | None = None
         for p in patterns:
             found = self._scan(p, depth + 1)
@@ -282,7 +295,9 @@ def _true_of_null(e: Expr) -> bool:
     return bool(_ops(e) & {"!", "||", "call"})
 
 
-def _shown(p: Pattern) -> str:
+def _shown(p: Pattern | Star) -> str:
+    if isinstance(p, Star):
+        return " ; ".join(map(_shown, p.patterns))
     return " ".join(f"?{x.name}" if isinstance(x, Var) else x.lex for x in (p.s, p.p, p.o))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from arcwell.operators.solutions import match
 from arcwell.plans.optimizer import Size
-from arcwell.plans.parser import Pattern, Var
+from arcwell.plans.parser import Pattern, Star, Var
 from arcwell.terms import CUSTOM, DECIMAL, DOUBLE, INTEGER, LANGUAGE, LITERAL, TERM, URI, XSD, Term, iri_column, literal_column, term
 
 
@@ -145,8 +145,39 @@ class RelationalGraph:
             return None
         return df.where(F.col(predicate.column).isNotNull()).select(self._subject(predicate.table).alias("s"), term(F.lit(URI), F.lit(name)).alias("p"), _object(predicate).alias("o"))
 
-    def scan(self, pattern: Pattern) -> DataFrame | None:
-        """Rows of a triple pattern, a column for each variable; None if it can match nothing."""
+    def stars(self, patterns: tuple[Pattern, ...]) -> list[Pattern | Star]:
+        """Patterns of one subject over columns of one table become one scan, as a row holds one value of each."""
+        groups: dict[tuple, list[Pattern]] = {}
+        for k, p in enumerate(patterns):
+            known = isinstance(p.p, Term) and p.p.type == URI and p.p.lex in VOCABULARY
+            groups.setdefault((p.s, VOCABULARY[p.p.lex].table) if known else (k,), []).append(p)
+        return [g[0] if len(g) == 1 else Star(tuple(g)) for g in groups.values()]
+
+    def _scan_star(self, star: Star) -> DataFrame | None:
+        table = VOCABULARY[star.patterns[0].p.lex].table
+        df, slots, columns = self.table(table), {}, [self._subject(table).alias("s")]
+        if isinstance(star.patterns[0].s, Var):
+            slots["s"] = star.patterns[0].s.name
+        else:
+            slots["s"] = self._equals(F.col("s"), star.patterns[0].s)
+        for k, p in enumerate(star.patterns):
+            predicate = VOCABULARY[p.p.lex]
+            df = self._narrowed(df, predicate, p)
+            if df is None:
+                return None
+            df = df.where(F.col(predicate.column).isNotNull())
+            columns.append(_object(predicate).alias(f"o{k}"))
+            slots[f"o{k}"] = p.o.name if isinstance(p.o, Var) else self._equals(F.col(f"o{k}"), p.o)
+        return match(df.select(*columns), slots)
+
+    @staticmethod
+    def _equals(c: Column, t: Term) -> Column:
+        return (c["lex"] == t.lex) & (c["type"] == t.type) & c["sub"].eqNullSafe(F.lit(t.sub))
+
+    def scan(self, pattern: Pattern | Star) -> DataFrame | None:
+        """Rows of a triple pattern or star, a column for each variable; None if it can match nothing."""
+        if isinstance(pattern, Star):
+            return self._scan_star(pattern)
         if isinstance(pattern.p, Term):
             names = [pattern.p.lex] if pattern.p.type == URI and pattern.p.lex in VOCABULARY else []
         else:
@@ -162,8 +193,7 @@ class RelationalGraph:
             if isinstance(what, Var):
                 slots[slot] = what.name
             elif slot != "p":
-                c = F.col(slot)
-                slots[slot] = (c["lex"] == what.lex) & (c["type"] == what.type) & c["sub"].eqNullSafe(F.lit(what.sub))
+                slots[slot] = self._equals(F.col(slot), what)
         return match(triples, slots)
 
     def rows(self, table: str) -> int:
@@ -172,7 +202,15 @@ class RelationalGraph:
             self._rows[table] = self.table(table).count()
         return self._rows[table]
 
-    def size(self, pattern: Pattern) -> Size:
+    def size(self, pattern: Pattern | Star) -> Size:
+        if isinstance(pattern, Star):
+            total = max(1, self.rows(VOCABULARY[pattern.patterns[0].p.lex].table))
+            each = [self.size(p) for p in pattern.patterns]
+            rows = float(total)
+            for s in each:
+                rows *= min(1.0, s.rows / total)
+            values = {v: n for s in each for v, n in s.values.items()}
+            return Size(max(rows, 1.0), {v: max(1.0, min(n, rows)) for v, n in values.items()})
         names = [pattern.p.lex] if isinstance(pattern.p, Term) else list(VOCABULARY)
         rows, subjects, objects = 0.0, 0.0, 0.0
         for n in names:
