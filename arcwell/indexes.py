@@ -220,7 +220,7 @@ class Indexed:
 
     def __init__(self, store, query: Query, indexes: Sequence, alpha: float = 0.5):
         self.store, self.alpha = store, alpha
-        self.kind, self.spark = store.kind, store.spark
+        self.spark = store.spark
         self._lists: dict[str, list[tuple[int, DataFrame]]] = {}
         edges = list(self._edges(query.where))
         for index in indexes:

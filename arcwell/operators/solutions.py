@@ -82,13 +82,14 @@ def within(df: DataFrame, column: str, vertices: DataFrame) -> DataFrame:
     return df.join(vertices.withColumnRenamed(v, "__v"), F.col(column) == F.col("__v"), "left_semi")
 
 
-def union(parts: Sequence[DataFrame], kind: str) -> DataFrame:
+def union(parts: Sequence[DataFrame]) -> DataFrame:
     """Bag union; variables that a part lacks are null there."""
+    kinds = {c: kind for p in parts for c, kind in p.dtypes}
     counts = any(N in p.columns for p in parts)
     names = list(dict.fromkeys(v for p in parts for v in variables(p)))
 
     def shaped(p: DataFrame) -> DataFrame:
-        own = [F.col(v) if v in p.columns else F.lit(None).cast(kind).alias(v) for v in names]
+        own = [F.col(v) if v in p.columns else F.lit(None).cast(kinds[v]).alias(v) for v in names]
         return p.select(*own, *([F.col(N) if N in p.columns else F.lit(1).cast("long").alias(N)] if counts else []))
 
     return reduce(DataFrame.union, map(shaped, parts))

@@ -42,6 +42,11 @@ class Rows:
     decoded: set[str]
 
 
+def _rows(df: DataFrame) -> Rows:
+    """Rows whose term columns are known by their type."""
+    return Rows(df, {c for c, kind in df.dtypes if kind.startswith("struct")})
+
+
 class Plan:
     """One query over one graph; `tree` describes what was planned."""
 
@@ -55,8 +60,8 @@ class Plan:
 
     def _decode(self, rows: Rows, names) -> Rows:
         todo = [n for n in names if n in rows.df.columns and n not in rows.decoded]
-        if self.graph.kind == TERM or not todo:
-            return Rows(rows.df, rows.decoded | set(todo))
+        if not todo:
+            return rows
         return Rows(self.graph.decode(rows.df, todo), rows.decoded | set(todo))
 
     def _alike(self, a: Rows, b: Rows) -> tuple[Rows, Rows]:
@@ -97,7 +102,7 @@ class Plan:
             else:
                 df = df.select(*keep, *([op.N] if op.N in df.columns else []))
         self._note(depth, said)
-        return Rows(df, set())
+        return _rows(df)
 
     def _repeats(self, pattern: Pattern | Star, keep: list[str]) -> bool:
         """Whether the kept variables repeat enough for an aggregate before the joins to pay."""
@@ -126,11 +131,7 @@ class Plan:
                 return None
             mixed = set().union(*(p.decoded for p in parts))
             parts = [self._decode(p, mixed) for p in parts]
-            kind = self.graph.kind
-            df = op.union([p.df for p in parts], kind)
-            for v in mixed - set().union(*(set(p.df.columns) for p in parts)):
-                df = df.withColumn(v, F.lit(None).cast(TERM))
-            rows = self._join(rows, Rows(df, mixed))
+            rows = self._join(rows, _rows(op.union([p.df for p in parts])))
         for r in group.reaches:
             rows = self._reach(rows, r, depth + 1)
             if rows is None:
@@ -149,7 +150,7 @@ class Plan:
             found = self.group(g, depth + 1)
             if found is None:
                 missing = [v for v in g.variables() if v not in rows.df.columns]
-                rows = Rows(rows.df.select("*", *[F.lit(None).cast(self.graph.kind).alias(v) for v in missing]), rows.decoded)
+                rows = Rows(rows.df.select("*", *[F.lit(None).cast(TERM).alias(v) for v in missing]), rows.decoded | set(missing))
             else:
                 rows = self._join(rows, found, op.optional)
         for e in group.filters:
@@ -160,10 +161,10 @@ class Plan:
     def _filter(self, rows: Rows, e: Expr) -> Rows:
         names = [v for v in e.variables() if v in rows.df.columns]
         raw = [v for v in names if v not in rows.decoded]
-        if self.graph.kind != TERM and raw:
+        if raw:
             if set(raw) == set(names) and (c := self._on_ids(e, set(rows.df.columns))) is not None:
                 return Rows(rows.df.where(c), rows.decoded)
-            if len(names) == 1 and len(raw) == 1 and "bound" not in _ops(e) and not _true_of_null(e):
+            if hasattr(self.graph, "terms_where") and len(names) == 1 and len(raw) == 1 and "bound" not in _ops(e) and not _true_of_null(e):
                 terms = self.graph.terms_where(lambda t: self._compiler({names[0]: t}).condition(e))
                 return Rows(op.within(rows.df, names[0], terms), rows.decoded)
         before = rows.df.columns
@@ -198,6 +199,8 @@ class Plan:
         self._note(depth, "reaches")
         if edge is None:
             return None
+        if len({kind for _, kind in edge.dtypes}) > 1:
+            edge = self._decode(_rows(edge), edge.columns).df
         edge = edge.distinct()
         found = front = edge
         for _ in range(self.options.most_steps):
@@ -210,14 +213,8 @@ class Plan:
             raise RuntimeError(f"reaches needs more than {self.options.most_steps} steps")
         slots: dict = {}
         for slot, what in (("__a", r.start), ("__b", r.end)):
-            slots[slot] = what.name if isinstance(what, Var) else self._constant(F.col(slot), what)
-        return self._join(rows, Rows(op.match(found, slots), set()))
-
-    def _constant(self, c: Column, t: Term) -> Column:
-        if self.graph.kind == TERM:
-            return (c["lex"] == t.lex) & (c["type"] == t.type) & c["sub"].eqNullSafe(F.lit(t.sub))
-        i = self.graph.id_of(t)
-        return F.lit(False) if i is None else c == i
+            slots[slot] = what.name if isinstance(what, Var) else self.graph.equals(found, slot, what)
+        return self._join(rows, _rows(op.match(found, slots)))
 
     def _function(self, rows: Rows, f: TableFunction, depth: int) -> Rows:
         from arcwell.functions.table import lateral

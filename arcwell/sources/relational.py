@@ -4,11 +4,16 @@ Every column of a table is a predicate: a row's subject is the IRI table/key, a
 foreign key gives an IRI, any other column a literal.  A pattern with a constant
 predicate reads one table and two columns; constants become filters on the raw
 columns, which reach the Parquet scan.
+
+IRIs of rows are carried as one long, the key times 16 plus a code of the table, so
+joins compare longs; they become terms by arithmetic where a filter or the output
+needs their text.  Literals are term structs from the start.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 from arcwell.operators.solutions import match
 from arcwell.plans.optimizer import Size
 from arcwell.plans.parser import Pattern, Star, Var
-from arcwell.terms import CUSTOM, DECIMAL, DOUBLE, INTEGER, LANGUAGE, LITERAL, TERM, URI, XSD, Term, iri_column, literal_column, term
+from arcwell.terms import CUSTOM, DECIMAL, DOUBLE, INTEGER, LANGUAGE, LITERAL, URI, XSD, Term, literal_column, term
 
 
 @dataclass(frozen=True)
@@ -71,10 +76,26 @@ VOCABULARY = {
 }
 
 
+#: Code of each subject's name in the lowest four bits of an id.
+CODES = {name: k for k, name in enumerate(["region", "nation", "customer", "supplier", "part", "order", "line", "event", "document", "user"])}
+_WIDTH = 16
+
+
+def _id(name: str, key: Column) -> Column:
+    return key.cast("long") * _WIDTH + CODES[name]
+
+
+def decoded(i: Column) -> Column:
+    """The IRI behind an id; rows without a key show their hash."""
+    code, key = F.pmod(i, F.lit(_WIDTH)), F.shiftright(i, 4)
+    head = F.element_at(F.array(*[F.lit(n + "/") for n in CODES]), (code + 1).cast("int"))
+    return F.when(i.isNotNull(), term(F.lit(URI), F.concat(head, F.when(code == CODES["line"], F.hex(key)).otherwise(key.cast("string")))))
+
+
 def _object(p: Predicate) -> Column:
     c = F.col(p.column)
     if p.kind == "to":
-        return iri_column(F.concat(F.lit(p.to + "/"), c.cast("string")))
+        return _id(p.to, c)
     if p.kind == "integer":
         return literal_column(c.cast("string"), INTEGER)
     if p.kind == "money":
@@ -95,8 +116,6 @@ def _number(text: str) -> int | None:
 class RelationalGraph:
     """The graph of a folder of tables, for arcwell.plans.compile."""
 
-    kind = TERM
-
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._rows: dict[str, int] = {}
@@ -106,9 +125,7 @@ class RelationalGraph:
 
     def _subject(self, table: str) -> Column:
         name, key = TABLES[table]
-        if key is None:
-            key = F.hex(F.xxhash64(*sorted(self.table(table).columns)))
-        return iri_column(F.concat(F.lit(name + "/"), F.col(key).cast("string") if isinstance(key, str) else key))
+        return _id(name, F.col(key) if key else F.shiftright(F.xxhash64(*sorted(self.table(table).columns)), 4))
 
     def _narrowed(self, df: DataFrame, predicate: Predicate, pattern: Pattern) -> DataFrame | None:
         """df filtered by the pattern's constants on raw columns as far as they allow; None if nothing can match."""
@@ -125,7 +142,7 @@ class RelationalGraph:
             o, c = pattern.o, F.col(predicate.column)
             if predicate.kind == "to":
                 head, _, tail = o.lex.partition("/")
-                if o.type != URI or head != predicate.to or (n := _number(tail)) is None:
+                if o.type != URI or head != predicate.to or predicate.to == "line" or (n := _number(tail)) is None:
                     return None
                 df = df.where(c == n)
             elif predicate.kind == "integer":
@@ -155,11 +172,7 @@ class RelationalGraph:
 
     def _scan_star(self, star: Star) -> DataFrame | None:
         table = VOCABULARY[star.patterns[0].p.lex].table
-        df, slots, columns = self.table(table), {}, [self._subject(table).alias("s")]
-        if isinstance(star.patterns[0].s, Var):
-            slots["s"] = star.patterns[0].s.name
-        else:
-            slots["s"] = self._equals(F.col("s"), star.patterns[0].s)
+        df, columns, what = self.table(table), [self._subject(table).alias("s")], {"s": star.patterns[0].s}
         for k, p in enumerate(star.patterns):
             predicate = VOCABULARY[p.p.lex]
             df = self._narrowed(df, predicate, p)
@@ -167,13 +180,37 @@ class RelationalGraph:
                 return None
             df = df.where(F.col(predicate.column).isNotNull())
             columns.append(_object(predicate).alias(f"o{k}"))
-            slots[f"o{k}"] = p.o.name if isinstance(p.o, Var) else self._equals(F.col(f"o{k}"), p.o)
-        return match(df.select(*columns), slots)
-
-    @staticmethod
-    def _equals(c: Column, t: Term) -> Column:
+            what[f"o{k}"] = p.o
+        return self._matched(df.select(*columns), what)
+
+    def _matched(self, df: DataFrame, what: dict[str, Var | Term]) -> DataFrame:
+        """df matched with a variable or constant for each column."""
+        kinds = dict(df.dtypes)
+        places: dict[str, list[str]] = {}
+        for slot, x in what.items():
+            if isinstance(x, Var):
+                places.setdefault(x.name, []).append(slot)
+        for slots in places.values():
+            if len({kinds[s] for s in slots}) > 1:
+                df = df.withColumns({s: decoded(F.col(s)) for s in slots if kinds[s] == "bigint"})
+        return match(df, {s: x.name if isinstance(x, Var) else self.equals(df, s, x) for s, x in what.items()})
+
+    def equals(self, df: DataFrame, column: str, t: Term) -> Column:
+        """Whether a column holds a term."""
+        c = F.col(column)
+        if dict(df.dtypes)[column] == "bigint":
+            if (i := self.id_of(t)) is not None:
+                return c == i
+            c = decoded(c)
         return (c["lex"] == t.lex) & (c["type"] == t.type) & c["sub"].eqNullSafe(F.lit(t.sub))
 
+    def id_of(self, t: Term) -> int | None:
+        """Id of a row's IRI; None for other terms and for rows that are named by their hash."""
+        head, _, tail = t.lex.partition("/")
+        if t.type != URI or head not in CODES or head == "line" or (n := _number(tail)) is None:
+            return None
+        return n * _WIDTH + CODES[head]
+
     def scan(self, pattern: Pattern | Star) -> DataFrame | None:
         """Rows of a triple pattern or star, a column for each variable; None if it can match nothing."""
         if isinstance(pattern, Star):
@@ -185,16 +222,15 @@ class RelationalGraph:
         branches = [b for n in names if (b := self._branch(n, pattern)) is not None]
         if not branches:
             return None
-        triples = branches[0]
-        for b in branches[1:]:
-            triples = triples.union(b)
-        slots = {}
-        for slot, what in (("s", pattern.s), ("p", pattern.p), ("o", pattern.o)):
-            if isinstance(what, Var):
-                slots[slot] = what.name
-            elif slot != "p":
-                slots[slot] = self._equals(F.col(slot), what)
-        return match(triples, slots)
+        triples = self._together(branches)
+        return self._matched(triples, {"s": pattern.s, "o": pattern.o} | ({"p": pattern.p} if isinstance(pattern.p, Var) else {}))
+
+    @staticmethod
+    def _together(branches: list[DataFrame]) -> DataFrame:
+        """Union; objects become terms unless all are ids."""
+        if len({dict(b.dtypes)["o"] for b in branches}) > 1:
+            branches = [b.withColumn("o", decoded(F.col("o"))) if dict(b.dtypes)["o"] == "bigint" else b for b in branches]
+        return reduce(DataFrame.union, branches)
 
     def rows(self, table: str) -> int:
         """Rows of a table, from the files' footers."""
@@ -231,7 +267,7 @@ class RelationalGraph:
         return Size(max(rows, 1.0), values)
 
     def decode(self, df: DataFrame, names: list[str]) -> DataFrame:
-        return df
+        return df.withColumns({n: decoded(F.col(n)) for n in names})
 
     def known(self, t: Term) -> bool:
         return True
@@ -242,8 +278,7 @@ class RelationalGraph:
 
     def triples(self, names: list[str] | None = None) -> DataFrame:
         """(s, p, o) as term columns of some or all predicates."""
-        out = None
-        for n in names or list(VOCABULARY):
-            b = self._branch(n, Pattern(Var("s"), Var("p"), Var("o")))
-            out = b if out is None else out.union(b)
-        return out
+        pattern = Pattern(Var("s"), Var("p"), Var("o"))
+        branches = [self._branch(n, pattern) for n in names or list(VOCABULARY)]
+        whole = self._together(branches)
+        return self.decode(whole, [c for c, kind in whole.dtypes if kind == "bigint"])

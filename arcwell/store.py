@@ -37,8 +37,6 @@ def _key(df: DataFrame, slot: str) -> list[Column]:
 class Store:
     """Implements the graph protocol of arcwell.plans.compile on ids."""
 
-    kind = "bigint"
-
     def __init__(self, spark: SparkSession, path: str, as_of: int | None = None):
         self.spark, self.path, self.as_of = spark, path.rstrip("/"), as_of
         self.options = Options()
@@ -152,6 +150,11 @@ class Store:
                 slots[slot] = F.col(slot) == i
         return match(self.facts(), slots)
 
+    def equals(self, df: DataFrame, column: str, t: Term) -> Column:
+        """Whether a column holds a term."""
+        i = self.id_of(t)
+        return F.lit(False) if i is None else F.col(column) == i
+
     def statistics(self):
         from arcwell.stats import Statistics
 
