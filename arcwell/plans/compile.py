@@ -120,6 +120,8 @@ class Plan:
         rows: Rows | None = None
         for p in patterns:
             found = self._scan(p, depth + 1)
+            if found is not None and self.options.reorder and len(patterns) > 1:
+                self.tree[-1] += f" ~{self.graph.size(p).rows:.0f} rows"
             if found is None:
                 self._note(depth + 1, f"empty {_shown(p)}")
                 return None

@@ -2,7 +2,8 @@
 
     <path>/v<N>/terms      id, type, lex, sub
     <path>/v<N>/facts      s, o, created by p
-    <path>/v<N>/delta-<k>-<x>/ terms and facts of one committed insert, in use once its facts are complete
+    <path>/v<N>/stats      p, n, subjects, objects: counts by predicate for the join order
+    <path>/v<N>/delta-<k>-<x>/ the same three of one committed insert, in use once its stats are complete
     <path>/CURRENT         the number N, replaced last when a store is rewritten
 
 Facts are a set.  A scan reads base and deltas and drops what stands in both.
@@ -28,6 +29,7 @@ from arcwell.terms import TERM, Term, rendered, term
 
 TERMS = "id long, type int, lex string, sub string"
 FACTS = "s long, p long, o long, created long"
+STATS = "p long, n long, subjects long, objects long"
 
 
 def _key(df: DataFrame, slot: str) -> list[Column]:
@@ -44,7 +46,7 @@ class Store:
         self.path_index = None
         self.graph_index = None
         self._ids: dict[Term, int | None] = {}
-        self._sizes: dict[tuple, tuple[int, int, int]] = {}
+        self._sizes: dict[int | None, tuple[float, float, float, float]] = {}
         if not self._exists("CURRENT"):
             self._rewrite(spark.createDataFrame([], "s " + TERM + ", p " + TERM + ", o " + TERM), 0)
 
@@ -78,7 +80,7 @@ class Store:
             stream.close()
 
     def _deltas(self) -> list[str]:
-        return [f"{self.version}/{n}" for n in self._list(self.version) if n.startswith("delta-") and self._exists(f"{self.version}/{n}/facts/_SUCCESS")]
+        return [f"{self.version}/{n}" for n in self._list(self.version) if n.startswith("delta-") and self._exists(f"{self.version}/{n}/stats/_SUCCESS")]
 
     def _forget(self) -> None:
         self._ids, self._sizes = {}, {}
@@ -160,20 +162,28 @@ class Store:
 
         return Statistics(self.facts())
 
+    def _counts(self, p: int | None) -> tuple[float, float, float, float]:
+        """Triples, subjects, objects and predicates of one predicate or of all, from the tables written with the facts."""
+        if p not in self._sizes:
+            parts = [f"{self.path}/{self.version}/stats", *(f"{self.path}/{d}/stats" for d in self._deltas())]
+            rows = self.spark.read.schema(STATS).parquet(*parts)
+            if p is not None:
+                rows = rows.where(F.col("p") == p)
+            n, subjects, objects, predicates = rows.agg(F.sum("n"), F.sum("subjects") if p is not None else F.max("subjects"), F.sum("objects") if p is not None else F.max("objects"), F.count_distinct("p")).first()
+            self._sizes[p] = tuple(max(1.0, float(x or 0)) for x in (n, subjects, objects, predicates))
+        return self._sizes[p]
+
     def size(self, pattern: Pattern) -> Size:
-        """Exact rows and different values, kept for each shape of constants."""
-        key = tuple(None if isinstance(x, Var) else self.id_of(x) for x in (pattern.s, pattern.p, pattern.o))
-        fixed = [not isinstance(x, Var) for x in (pattern.s, pattern.p, pattern.o)]
-        if any(f and k is None for f, k in zip(fixed, key)):
+        """Exact triples and estimated different values of a predicate; constants divide by these."""
+        p = None if isinstance(pattern.p, Var) else self.id_of(pattern.p)
+        if p is None and not isinstance(pattern.p, Var):
             return Size(1.0, {v: 1.0 for v in pattern.variables()})
-        if key not in self._sizes:
-            df = self.facts()
-            for slot, k in zip("spo", key):
-                if k is not None:
-                    df = df.where(F.col(slot) == k)
-            self._sizes[key] = tuple(df.agg(F.count("*"), *[F.approx_count_distinct(c) for c in "spo"]).first())
-        n, *different = self._sizes[key]
-        return Size(max(1.0, n), {x.name: max(1.0, d) for x, d in zip((pattern.s, pattern.p, pattern.o), different) if isinstance(x, Var)})
+        rows, subjects, objects, predicates = self._counts(p)
+        for what, different in ((pattern.s, subjects), (pattern.o, objects)):
+            if not isinstance(what, Var):
+                rows = max(1.0, rows / different)
+        places = ((pattern.s, subjects), (pattern.p, predicates), (pattern.o, objects))
+        return Size(rows, {x.name: max(1.0, min(d, rows)) for x, d in places if isinstance(x, Var)})
 
     def vertices(self, pattern: Pattern) -> dict[str, list[DataFrame]]:
         return {}
@@ -230,12 +240,14 @@ class Store:
         # a hot predicate is spread by subject ranges; each task writes few predicates
         spread = facts.repartition("p", F.pmod(F.hash("s"), F.lit(16))).sortWithinPartitions("p", "s", "o")
         spread.write.partitionBy("p").parquet(f"{self.path}/{at}/facts")
+        written = self.spark.read.schema(FACTS).parquet(f"{self.path}/{at}/facts")
+        written.groupBy("p").agg(F.count("*").alias("n"), F.approx_count_distinct("s").alias("subjects"), F.approx_count_distinct("o").alias("objects")).coalesce(1).write.parquet(f"{self.path}/{at}/stats")
 
     def _rewrite(self, triples: DataFrame, created: int) -> None:
         at = "v" + uuid.uuid4().hex
         self._encode(triples, None, 0, at, created)
-        if not self._exists(f"{at}/facts/_SUCCESS"):
-            raise RuntimeError("facts were not written")
+        if not self._exists(f"{at}/stats/_SUCCESS"):
+            raise RuntimeError("the store was not written")
         self._put("CURRENT", at)
         self._forget()
 
