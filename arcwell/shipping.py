@@ -10,9 +10,14 @@ from pyspark.sql import SparkSession
 
 _done: set[str] = set()
 
+#: Most that a batch between the JVM and a Python worker holds; several copies of one live in a worker at a time.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the Python workers of an application, once."""
+    """Sends this package's modules to the Python workers of an application, once, and bounds the batches that these get."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _done:
         return
