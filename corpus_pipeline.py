@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwell.llm import line_dedup, packing, quality, simhash, substrings
+from arcwell.llm import line_dedup, near_copies, packing, quality, substrings
 from arcwell.llm.common import kept
 from arcwell.shipping import ship
 
@@ -48,9 +48,9 @@ def without_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: linked by five-word Jaccard similarities of 0.8 or more."""
     ship(spark)
-    return _named(docs, simhash.one_of_each(_plain(docs)))
+    return _named(docs, near_copies.one_of_each(_plain(docs)))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import shutil
 from pathlib import Path
 
@@ -42,3 +43,31 @@ def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path, rows):
         assert out.columns == docs.columns and all(r[c] == r["lang"] for r in got for c in clash)
         assert {r["doc_id"] for r in got} == ({1, None, 3, 4} if name == "near copies" else {r[0] for r in rows}) if rows else not got
     assert corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).count() <= len(rows)
+
+
+def test_near_copies_by_brute_force(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    texts = {}
+    for group in range(30):
+        words = [rng.choice(base) for _ in range(rng.randint(6, 250))]
+        for _ in range(4):
+            changed = list(words)
+            for _ in range(rng.randint(0, 1 + len(words) // 35)):
+                changed[rng.randrange(len(changed))] = rng.choice(base)
+            texts[len(texts)] = " ".join(changed)
+    texts |= {200: "", 201: None, 202: "one two three", 203: "ONE  two three", 204: "one two four"}
+
+    def cut(t):
+        words = (t or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    sets, root = {d: cut(t) for d, t in texts.items()}, {d: d for d in texts}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len({root[d] for d in texts}) < len(texts) - 30
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id long, text string")
+    stay = [r["doc_id"] for r in corpus_pipeline.without_copies(spark, docs, "").collect()]
+    assert sorted(d for d in stay if d is not None) == sorted(set(root.values())) and stay.count(None) == 1
