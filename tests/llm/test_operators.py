@@ -431,3 +431,34 @@ def test_context_vectors():
     rows_ = list(quality._contexts(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])]), space))[0]
     got = {b: row for b, *row in zip(*[c.to_pylist() for c in rows_.columns])}
     assert all(got[b] == want[b].tolist() for b in set(tokens.tolist()) - {63})
+
+
+def lost_words(first: str, second: str) -> str:
+    """What the second document loses to the first."""
+    how = substrings.Chunking()
+    raw, ends, digests = substrings.chunks(second, how)
+    spans = substrings.lost_spans(raw, ends, digests, set(substrings.pair_digests(substrings.chunks(first, how)[2])), 16, how)
+    return b"".join(raw[a:b] for a, b in spans).decode()
+
+
+@pytest.mark.parametrize("alphabet,length", [("abcdefghij", 6), ("0123456789", 2), ("abcdefghijklmnopqrstuvwxyz", 1)])
+def test_passages_of_over_50_words_are_found(alphabet, length):
+    rng = random.Random(length)
+    fresh = lambda n: " ".join("".join(rng.choices(alphabet, k=length)) for _ in range(n))
+    missed = 0
+    for _ in range(400):
+        passage = fresh(51 if length > 1 else 60)
+        gone = lost_words(f"{fresh(40)} {passage} {fresh(40)}", f"{fresh(33)} {passage} {fresh(20)}")
+        missed += len(gone.split()) < 16
+    assert missed == 0
+
+
+def test_passages_without_white_space(spark):
+    rng = random.Random(3)
+    for alphabet in ("".join(chr(0x4E00 + k) for k in range(2000)), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        fresh = lambda n: "".join(rng.choices(alphabet, k=n))  # noqa: E731, B023
+        passage, whole = fresh(2000), fresh(3000)
+        rows_ = [(1, whole), (2, whole), (3, fresh(701) + passage + fresh(300)), (4, fresh(50) + passage), (5, fresh(3000))]
+        got = {r["doc_id"]: r["kept_text"] for r in substrings.dedup_substrings(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+        assert got[2] == "" and len(got[4]) < 50 + 150
+        assert all(got[d] == t for d, t in rows_ if d in (1, 3, 5))
