@@ -7,7 +7,11 @@ the language that pass the base rules, so they cover the whole corpus; a languag
 is any value of `lang`.  Which words are common is fixed for the languages named
 below and the same list serves all others.  Where a text is too short for a steady
 histogram, the guard lets it pass.  Documents of an unknown language (null) are
-held against the reference that is nearest to them.
+held against each reference, and pass if one lets them pass.
+
+The limit of the distance over common words is a share of the distance that a text
+without a common word has from the language's reference, so such a text never passes
+where the reference has enough common words to tell.
 
 Counts are taken in one pass; the small table of them, without texts, is written to
 the shared folder, summed by language in integers, and compared in a second pass
@@ -179,7 +183,14 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(terms.sum(-1) / 2, 0, 1))
 
 
-def judged(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.5, least_chars: int = 100, least_words: int = 40) -> DataFrame:
+def word_limits(refs: np.ndarray, most_words: float, most_of_plain: float, least_common: float) -> np.ndarray:
+    """The limit for each reference: at most most_words, and most_of_plain of the distance of a text without common words where the reference has a share of least_common of these."""
+    plain = np.zeros(len(COMMON) + 1)
+    plain[-1] = 1
+    return np.where(1 - refs[:, -1] >= least_common, np.minimum(most_words, most_of_plain * js_distance(plain, refs)), most_words)
+
+
+def judged(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.5, least_chars: int = 100, least_words: int = 40, most_of_plain: float = 0.8, least_common: float = 0.15) -> DataFrame:
     """Counts, distances and the verdict of every row.
 
     kept is false if the base rules fail (under 20 words, or over 30 % of the words
@@ -195,20 +206,25 @@ def judged(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.5, l
     word_refs = np.array([known[k][1] for k in names]).reshape(len(names), len(COMMON) + 1)
     place = {k: i for i, k in enumerate(names)}
 
-    def distance(lang: str | None, own: list[int], refs: np.ndarray, least: int) -> float | None:
+    char_limits = np.full(len(names), most_chars)
+    common_limits = word_limits(word_refs, most_words, most_of_plain, least_common)
+
+    def distance(lang: str | None, own: list[int], refs: np.ndarray, limits: np.ndarray, least: int) -> tuple[float | None, bool]:
+        """The distance, and whether it is within the limit."""
         n = sum(own)
         if n < least or not len(refs) or (lang is not None and lang not in place):
-            return None
-        share = np.array(own) / n
-        return float(js_distance(share, refs[place[lang]] if lang is not None else refs).min())
+            return None, True
+        rows = slice(None) if lang is None else slice(place[lang], place[lang] + 1)
+        found = js_distance(np.array(own) / n, refs[rows])
+        return float(found.min()), bool((found <= limits[rows]).any())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            chars = [distance(k, x, char_refs, least_chars) for k, x in zip(langs, batch.column("chars").to_pylist())]
-            words = [distance(k, x, word_refs, least_words) for k, x in zip(langs, batch.column("commons").to_pylist())]
-            stay = [not b and (c is None or c <= most_chars) and (w is None or w <= most_words) for b, c, w in zip(batch.column("base_failed").to_pylist(), chars, words)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in base), pa.array(stay, pa.bool_()), pa.array(chars, pa.float64()), pa.array(words, pa.float64())], [*base, "kept", "char_distance", "word_distance"])
+            chars = [distance(k, x, char_refs, char_limits, least_chars) for k, x in zip(langs, batch.column("chars").to_pylist())]
+            words = [distance(k, x, word_refs, common_limits, least_words) for k, x in zip(langs, batch.column("commons").to_pylist())]
+            stay = [not b and c and w for b, (_, c), (_, w) in zip(batch.column("base_failed").to_pylist(), chars, words)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in base), pa.array(stay, pa.bool_()), pa.array([c for c, _ in chars], pa.float64()), pa.array([w for w, _ in words], pa.float64())], [*base, "kept", "char_distance", "word_distance"])
 
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return found.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double")

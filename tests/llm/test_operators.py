@@ -462,3 +462,16 @@ def test_passages_without_white_space(spark):
         got = {r["doc_id"]: r["kept_text"] for r in substrings.dedup_substrings(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
         assert got[2] == "" and len(got[4]) < 50 + 150
         assert all(got[d] == t for d, t in rows_ if d in (1, 3, 5))
+
+
+def test_junk_of_plain_letters_is_rejected(spark):
+    rng = random.Random(11)
+    letters = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    text = lambda share: " ".join(rng.choice(["the", "of", "and", "to", "in", "is"]) if rng.random() < share else letters() for _ in range(150))
+    clean = [(k, text(0.3), lang, None, None) for k, lang in enumerate(["en"] * 40 + [None] * 2)]
+    junk = [(100 + k, text(0), lang, None, None) for k, lang in enumerate(["en"] * 5 + [None])]
+    other = [(200 + k, text(0), "fi", None, None) for k in range(10)]
+    kept = {r["doc_id"]: r["kept"] for r in rules.judged(spark.createDataFrame(clean + junk, SCHEMA)).collect()}
+    assert all(kept[r[0]] for r in clean) and not any(kept[r[0]] for r in junk)
+    # a language whose texts have none of the words is not judged by them
+    assert all(r["kept"] for r in rules.judged(spark.createDataFrame(clean + other, SCHEMA)).collect())
