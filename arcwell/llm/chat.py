@@ -6,14 +6,17 @@ outputs compared: what the longer one adds is the new turn's span.  If it does n
 begin with the shorter one, the template rewrites history; the first position that
 changed is reported, and the span runs from there.
 
-Rendering all prefixes of n turns costs n squared, so after `window` turns the
-prefix is cut back to the last `overlap` ones, as if the conversation began there.
-A template for which that changes a turn's span (checked at every cut, on the first
-turn behind it) is rendered in whole prefixes instead.
+Rendering all prefixes of n turns costs n squared, and a black box needs it: it may
+rewrite any turn when any later one comes.  Only for a template that declares that a
+turn's piece depends on that turn alone (its attribute `turn_local` is true, as that
+of marked) the prefix is cut back after `window` turns to the last `overlap` ones, as
+if the conversation began there.  One that doesn't keep its word at a cut (checked on
+the first turn behind it) is rendered in whole prefixes from there.
 
 Turns are dealt by conversation and sorted in the partition; a task streams them in
-order and holds the window and running digests, so a conversation of any length
-needs little memory.
+order and holds the window and running digests, so under a turn-local template a
+conversation of any length needs little memory; under others a task holds one whole
+conversation at a time.
 """
 
 from __future__ import annotations
@@ -50,6 +53,9 @@ def marked(turns: Sequence[Turn]) -> str:
     return "".join(f"{OPEN}{escape(role)}{MIDDLE}{escape(text)}{CLOSE}\n" for role, text in turns)
 
 
+marked.turn_local = True
+
+
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     """(role, text, start, end) of each turn that marked() wrote; start and end enclose the escaped text."""
     return [(unescape(m[1]), unescape(m[2]), m.start(2), m.end(2)) for m in _PARSE.finditer(formatted)]
@@ -87,7 +93,7 @@ class Incremental:
         self.template, self.window, self.overlap = template, window, overlap
         self.turns: list[Turn] = []
         self.last = template([])
-        self.cut, self.local = 0, True
+        self.cut, self.local = 0, getattr(template, "turn_local", False)
 
     def add(self, turn: Turn) -> Span:
         self.turns.append(turn)

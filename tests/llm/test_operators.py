@@ -475,3 +475,24 @@ def test_junk_of_plain_letters_is_rejected(spark):
     assert all(kept[r[0]] for r in clean) and not any(kept[r[0]] for r in junk)
     # a language whose texts have none of the words is not judged by them
     assert all(r["kept"] for r in rules.judged(spark.createDataFrame(clean + other, SCHEMA)).collect())
+
+
+def test_black_box_templates_see_whole_prefixes():
+    last_20 = lambda turns: "".join(f"{t};" for _, t in turns[-20:])
+    late = lambda turns: ("long:" if len(turns) >= 18 else "") + "".join(f"{t};" for _, t in turns)
+    many = [("user", f"t{k}") for k in range(40)]
+    for template, first in ((last_20, 20), (late, 17)):
+        inc = chat.Incremental(template)
+        spans = [inc.add(t) for t in many]
+        assert spans == chat.locate(many, template)[1]
+        assert [s.rewritten is None for s in spans[: first + 1]] == [True] * first + [False]
+
+    def strict(turns):
+        if turns and turns[0][0] != "user":
+            raise ValueError("a user begins")
+        return "".join(f"{r}:{t};" for r, t in turns)
+
+    inc = chat.Incremental(strict)
+    turns = [(("user", "assistant")[k % 2], str(k)) for k in range(41)]
+    assert "".join(inc.add(t).text for t in turns) == strict(turns)
+    assert chat.Incremental().local
