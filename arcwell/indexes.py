@@ -2,7 +2,9 @@
 
 Both indexes keep, for a shape, the vertices that can stand at one of its places.
 A query that contains the shape may keep only rows whose value is in the list.
-This is an optimization: results are the same without it.
+This is an optimization: results are the same without it.  An index is of the
+store's state whose facts() it was built from (`of`; None if these were others), and
+the store uses it in that state only.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ class PathIndex:
     least ((l - 1) / max_length)**2 * least vertices.
     """
 
-    def __init__(self, spark, path: str, counts: dict[Path, int]):
-        self.spark, self.path, self.counts = spark, path, counts
+    def __init__(self, spark, path: str, counts: dict[Path, int], of: tuple | None = None):
+        self.spark, self.path, self.counts, self.of = spark, path, counts, of
 
     @classmethod
     def build(cls, facts: DataFrame, path: str, max_length: int = 3, most_ratio: float = 0.8, least: int = 0, reverse: bool = False, any_predicate: bool = False, most_paths: int = 100_000) -> PathIndex:
@@ -66,7 +68,7 @@ class PathIndex:
                 suffix = every.get(p[1:]) if length > 1 else None
                 if n >= floor and (suffix is None or n / suffix < most_ratio):
                     kept[p] = n
-        return cls(spark, path, kept)
+        return cls(spark, path, kept, getattr(facts, "store_state", None))
 
     def vertices(self, p: Path) -> DataFrame:
         wanted = F.array(*[F.lit(x).cast("long") for x in p])
@@ -129,8 +131,8 @@ class GraphIndex:
     of its parent's uses the parent's list.
     """
 
-    def __init__(self, spark, shapes: dict[tuple[Edge, ...], Shape]):
-        self.spark, self.shapes = spark, shapes
+    def __init__(self, spark, shapes: dict[tuple[Edge, ...], Shape], of: tuple | None = None):
+        self.spark, self.shapes, self.of = spark, shapes, of
 
     @classmethod
     def build(cls, facts: DataFrame, path: str, max_edges: int = 2, least: int = 2, most_edges_of_predicate: int | None = None, most_embeddings: int = 200_000_000, most_shapes: int = 1000) -> GraphIndex:
@@ -178,7 +180,7 @@ class GraphIndex:
                         joined = rows.join(edge, [f"v{k}" for k in (a, b) if k < n])
                         named = joined.select(*[F.col(f"v{k}").alias(f"v{perm[k]}") for k in range(len(perm))])
                         keep(code, named, shape, {perm[k]: k for k in range(n)})
-        return cls(spark, shapes)
+        return cls(spark, shapes, getattr(facts, "store_state", None))
 
     def vertices(self, shape: Shape, place: int) -> DataFrame:
         path, k = shape.reuse.get(place, (shape.path, place))

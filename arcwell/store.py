@@ -85,6 +85,10 @@ class Store:
     def _forget(self) -> None:
         self._ids, self._sizes = {}, {}
 
+    def state(self) -> tuple:
+        """What the store holds: its version, the deltas in use, and as of when."""
+        return self.path, self.version, tuple(self._deltas()), self.as_of
+
     # reading
 
     def terms(self) -> DataFrame:
@@ -93,7 +97,8 @@ class Store:
         return self.spark.read.schema(TERMS).parquet(*parts)
 
     def facts(self) -> DataFrame:
-        """All triples as ids, each once."""
+        """All triples as ids, each once; `store_state` says of which state, for indexes built of them."""
+        state = self.state()
         base = self.spark.read.schema(FACTS).parquet(f"{self.path}/{self.version}/facts").select("s", "p", "o", "created")
         deltas = [f"{self.path}/{d}/facts" for d in self._deltas()]
         if deltas:
@@ -101,7 +106,9 @@ class Store:
             base = base.unionByName(more).groupBy("s", "p", "o").agg(F.min("created").alias("created"))
         if self.as_of is not None:
             base = base.where(F.col("created") <= self.as_of)
-        return base.select("s", "p", "o")
+        out = base.select("s", "p", "o")
+        out.store_state = state
+        return out
 
     def triples(self) -> DataFrame:
         """(s, p, o) as term columns."""
@@ -191,9 +198,14 @@ class Store:
     # queries
 
     def _graph(self, text: str):
-        """The store itself, or with its indexes around it where they help this query."""
-        indexes = [i for i in (self.path_index, self.graph_index) if i is not None]
-        if not indexes or not self.options.indexes:
+        """The store itself, or with its indexes around it where they help this query.
+
+        An index of another state lacks vertices or has other ids, and is not used.
+        """
+        indexes = [i for i in (self.path_index, self.graph_index) if i is not None] if self.options.indexes else []
+        now = self.state() if indexes else None
+        indexes = [i for i in indexes if i.of == now]
+        if not indexes:
             return self
         from arcwell.indexes import Indexed
         from arcwell.plans.parser import parse

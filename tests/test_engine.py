@@ -298,3 +298,20 @@ def test_statistics(store):
     assert sum(n for _, n in classes) == len({r[0] for r in rows})
     edges = stats.class_edges(facts, classes)
     assert "digraph" in stats.dot(edges)
+
+
+def test_indexes_of_an_earlier_state_are_not_used(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.insert("insert data { " + " ".join(f"<a{k}> <p> <b{k}> ." for k in range(3)) + " ".join(f" <b{k}> <q> <c> ." for k in range(20)) + " }")
+    store.commit()
+    text = "select ?x ?y where { ?x <p> ?y . ?y <q> ?z }"
+    store.path_index = PathIndex.build(store.facts(), str(tmp_path / "p"), max_length=2, most_ratio=2.0)
+    store.graph_index = GraphIndex.build(store.facts(), str(tmp_path / "g"), max_edges=2, least=1)
+    assert store._graph(text) is not store and store.query(text).count() == 3
+    store.insert("insert data { <n> <p> <m> . <m> <q> <c> }")
+    store.commit()
+    assert store.query(text).count() == 4
+    store.path_index.of = store.state()
+    assert store.query(text).count() == 3  # what the old list would leave
+    store.compact()
+    assert store._graph(text) is store and store.query(text).count() == 4
