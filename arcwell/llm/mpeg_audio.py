@@ -9,12 +9,13 @@ the number of stored bytes and their CRC-32, which covers what the frames' own
 checksums leave out.  The last frame takes the smallest rate that holds what is
 left, so streams have a variable bitrate.
 
-The reader takes any bytes.  It skips tags at both ends, looks for a frame header
+The reader takes any bytes.  It skips tags in front, looks for a frame header
 that the next header or the end of the audio confirms, walks from frame to frame
 of the same kind, and where none follows looks for the next confirmed header,
-counting what it skipped.  It
+counting what it skipped.  Tags at the end are taken only where the walk comes to
+them: what looks like one inside a frame is audio.  It
 handles MPEG 1, 2 and 2.5, layers I to III, the two kinds of rate tables, and
-checks the CRC of layer III frames.  Durations are exact, as samples over rate.
+checks the CRC of all protected frames.  Durations are exact, as samples over rate.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ class Header:
     channels: int
     size: int
     samples: int
+    bound: int = 32  # subbands below it are coded for each channel
 
     @property
     def side(self) -> int:
@@ -75,20 +77,67 @@ def header(word: bytes) -> Header | None:
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
     padding = word[2] >> 1 & 1
     size = (12 * bitrate // rate + padding) * 4 if layer == 1 else samples // 8 * bitrate // rate + padding
-    return Header(version, layer, not word[1] & 1, bitrate, rate, 1 if word[3] >> 6 == 3 else 2, size, samples)
+    bound = 4 + 4 * (word[3] >> 4 & 3) if word[3] >> 6 == 1 else 32
+    return Header(version, layer, not word[1] & 1, bitrate, rate, 1 if word[3] >> 6 == 3 else 2, size, samples, bound)
+
+
+def _shifted(crc: int, byte: int) -> int:
+    crc ^= byte << 8
+    for _ in range(8):
+        crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    return crc
+
+
+_CRC = [_shifted(0, byte) for byte in range(256)]
 
 
 @lru_cache(maxsize=4096)
-def crc16(data: bytes) -> int:
-    """CRC-16 of the format: polynomial 0x8005, from 0xFFFF, highest bit first."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC-16 of the format over the first bits: polynomial 0x8005, from 0xFFFF, highest bit first."""
+    bits = 8 * len(data) if bits is None else bits
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    for byte in data[: bits // 8]:
+        crc = (crc << 8 & 0xFFFF) ^ _CRC[crc >> 8 ^ byte]
+    for k in range(bits % 8):
+        top = (crc >> 15) ^ (data[bits // 8] >> 7 - k & 1)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
     return crc
 
 
+def _allocation_bits(h: Header) -> list[int]:
+    """Width of the bit allocation of each subband of a layer II frame."""
+    # Fixed values of the format: how many subbands have how many bits
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h.bitrate // h.channels
+    if each <= 48_000:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if each <= 80_000 or h.rate == 48000 else 7)
+
+
+def checked_bits(h: Header, body: bytes) -> int:
+    """Bits of the body, behind the checksum, that it covers beside half the header: side information, or bit allocation and in layer II scale factor selection."""
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (min(h.bound, 32) * h.channels + 32 - min(h.bound, 32))
+    at, used, value = 0, 0, int.from_bytes(body[:48].ljust(48, b"\0"), "big")
+    for band, width in enumerate(_allocation_bits(h)):
+        coded = h.channels if band < h.bound else 1
+        for _ in range(coded):
+            allocated = value >> 384 - at - width & (1 << width) - 1
+            at += width
+            used += (h.channels // coded) * (allocated > 0)
+    return at + 2 * used
+
+
+def crc_holds(data: bytes, at: int, h: Header) -> bool:
+    """Whether the checksum of a protected frame is that of what it covers."""
+    body = data[at + 6 : at + h.size]
+    bits = checked_bits(h, body)
+    return bits <= 8 * len(body) and crc16(data[at + 2 : at + 4] + body[: (bits + 7) // 8], 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -178,9 +227,9 @@ class Stream:
         return None
 
 
-def _tags(data: bytes, out: Stream) -> tuple[int, int]:
-    """Start and end of the audio between the tags."""
-    start, end = 0, len(data)
+def _front_tags(data: bytes, out: Stream) -> int:
+    """Start of the audio behind the tags in front."""
+    start = 0
     while data[start : start + 3] == b"ID3" and len(data) >= start + 10 and all(b < 128 for b in data[start + 6 : start + 10]):
         size = sum(b << s for b, s in zip(data[start + 6 : start + 10], (21, 14, 7, 0)))
         body, major = data[start + 10 : start + 10 + size], data[start + 3]
@@ -193,15 +242,20 @@ def _tags(data: bytes, out: Stream) -> tuple[int, int]:
                 out.private[owner] = value
             at += 10 + n
         start += 10 + size + (10 if data[start + 5] & 0x10 else 0)
+    return min(start, len(data))
+
+
+def _end_tags(data: bytes, start: int) -> dict[int, str]:
+    """What may be tags at the end: the place of each to its kind; frames may cover them."""
+    end, found = len(data), {}
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        out.tags.append("id3v1")
+        found[end] = "id3v1"
     if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size = int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 0x80 else 0)
-        if size <= end - start:
-            end -= size
-            out.tags.append("ape")
-    return min(start, end), end
+        if 32 <= size <= end - start and int.from_bytes(data[end - 24 : end - 20], "little") in (1000, 2000):
+            found[end - size] = "ape"
+    return found
 
 
 def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
@@ -229,37 +283,42 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
     return False
 
 
-def _confirmed(data: bytes, at: int, end: int) -> Header | None:
+def _confirmed(data: bytes, at: int, ends: dict[int, str]) -> Header | None:
     """A header whose frame ends where another of the same kind begins, or with the audio."""
     h = header(data[at : at + 4])
-    if h is None or at + h.size > end:
+    if h is None or at + h.size > len(data):
         return None
-    if at + h.size == end:
+    if at + h.size == len(data) or at + h.size in ends:
         return h
-    after = header(data[at + h.size : at + h.size + 4]) if at + h.size + 4 <= end else None
+    after = header(data[at + h.size : at + h.size + 4])
     return h if after and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate) else None
 
 
 def read(data: bytes | None) -> Stream:
     """All frames of a file; a null or a file without frames gives an empty stream."""
     out, data = Stream(), data or b""
-    at, end = _tags(data, out)
+    at = _front_tags(data, out)
+    ends = _end_tags(data, at)
     first, last = True, None
-    while at < end:
+    while at < len(data):
         h = header(data[at : at + 4])
-        if h is None or last is None or (h.version, h.layer, h.rate) != (last.version, last.layer, last.rate):
-            h = _confirmed(data, at, end)
-        if h is None or at + h.size > end:
+        over_tag = h is not None and any(at < x < at + h.size for x in ends)
+        if h is None or over_tag or last is None or (h.version, h.layer, h.rate) != (last.version, last.layer, last.rate):
+            h = _confirmed(data, at, ends)
+        if h is None or at + h.size > len(data):
+            if at in ends:
+                out.tags += [ends[x] for x in sorted(ends, reverse=True) if x >= at]
+                break
             last = None
-            following = data.find(b"\xff", at + 1, end)
-            following = end if following < 0 else following
+            following = data.find(b"\xff", at + 1)
+            following = min([len(data) if following < 0 else following, *(x for x in ends if x > at)])
             out.skipped += following - at
             at = following
             continue
         last = h
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.crc_checked += 1
-            out.crc_failed += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            out.crc_failed += not crc_holds(data, at, h)
         if not (first and _table(data, at, h, out)):
             out.offsets.append(at)
             out.headers.append(h)
@@ -297,7 +356,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 
 def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """docs with the text's payload as an MPEG audio file; a null text is empty."""
+    """docs with the text's payload as an MPEG audio file; a null text is empty; a column of that name is replaced."""
 
     @F.pandas_udf("binary")
     def run(texts):
@@ -307,7 +366,7 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataF
 
 
 def probe(files: DataFrame, media: str = "media") -> DataFrame:
-    """files with what their audio holds: duration_us, samples, rate, frames, frame_offsets, skipped, crc_failed, tags, table."""
+    """files with what their audio holds: duration_us, samples, rate, frames, frame_offsets, skipped, crc_checked, crc_failed, tags, table, table_frames, in a column `audio`, which replaces one of that name."""
     schema = "duration_us long, samples long, rate int, frames long, frame_offsets array<long>, skipped long, crc_checked long, crc_failed long, tags array<string>, table string, table_frames long"
 
     @F.pandas_udf(schema)
@@ -323,23 +382,23 @@ def probe(files: DataFrame, media: str = "media") -> DataFrame:
 def media_digests(docs: DataFrame) -> DataFrame:
     """Each text stored as audio, read back, and both forms' digests, row by row.
 
-    Null and empty texts store 64 zero bytes; repeated rows give repeated rows.
+    Null and empty texts store 64 zero bytes; repeated rows give repeated rows.  One
+    pass: the files stay in the worker that reads them.
     """
-    schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for n, data in zip(batch.column(1).to_pylist(), batch.column(2)):
-                data = data.as_py()
-                stream = read(data)
-                back = stored(data, stream)
+            for text in batch.column(1):
+                n, data = payload(text.as_py())
+                media = write(data)
+                stream = read(media)
+                back = stored(media, stream)
                 if back is None:
                     raise ValueError("a stored payload could not be read back")
-                rows.append((n, len(data), sha256(data).hexdigest(), len(back), sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), feature(stream)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds))], schema_names)
+                rows.append((n, len(back), sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), sha256(media).hexdigest(), feature(stream)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds))], [c.split()[0] for c in schema.split(", ")])
 
-    schema_names = [c.split()[0] for c in schema.split(", ")]
-    files = to_media(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")).select("doc_id", "n_bytes", "media")
-    return files.mapInArrow(run, schema).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
