@@ -7,14 +7,16 @@ concatenated.  The result is
 the one of the plain merge loop, since a merge across a cut would make a token
 that holds the pair.
 
-The cuts come in two sizes.  No token holds a space behind another character than
+The cuts are made in three steps, all before any merge.  No token holds a space
+behind another character than
 white space (checked when a vocabulary is loaded; byte 0xA0 is exempt, as it ends
 the no-break space), and the pretokenizing pattern starts anew at a single space
 between two characters that are not white space.  So whole
 texts are cut there, before the pattern runs, and the units, mostly words, are
-cached.  Pretokens over _LONG bytes, such as text without spaces, are cut at all
-forced boundaries; shorter ones go straight to the merge loop, as the cuts change
-nothing in them.
+cached.  The pattern cuts new units into pretokens, and these are cut at every byte
+pair that no token holds, whatever their length.  What is left between two cuts goes
+to a merge loop piece by piece: that of a library where it takes the vocabulary's ids
+for ranks, else our own over the merge table.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,7 +44,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Entries that a cache holds before it is emptied; bounds a worker's memory.
 CACHE = 120_000
-_LONG = 48
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -56,29 +58,6 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class _Units(dict):
-    """What follows a single space, up to the next -> its ids, the space's too, as little-endian uint32 bytes.
-
-    Two generations of CACHE entries each: frequent units come back from the
-    older one, so a full cache does not forget them.
-    """
-
-    def __init__(self, encode):
-        super().__init__()
-        self._encode, self._older = encode, {}
-
-    def __missing__(self, unit: str) -> bytes:
-        found = self._older.get(unit)
-        if found is None:
-            found = array("I", self._encode(" " + unit)).tobytes()
-        if len(unit) <= 64:
-            if len(self) >= CACHE:
-                self._older = dict(self)
-                self.clear()
-            self[unit] = found
-        return found
-
-
 class ForcedBoundaryBPE:
     """Encoder and decoder over a `tokenizers` JSON file of the byte-level BPE kind."""
 
@@ -115,7 +94,10 @@ class ForcedBoundaryBPE:
         self._wide = (re.compile(r" \s"), re.compile(r"\s "))
         self._cut = re.compile(r"(?<=\S) (?=\S)")
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._units = _Units(self._unit)
+        self._encode = self._core._core_bpe.encode_single_piece if self._core else self.merge
+        #: What follows a single space, up to the next -> its ids, the space's too; frequent units come back from the older generation.
+        self._cache: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _library(self):
         """tiktoken's pattern and merge loop, if the ids are in merge order, as it takes them for ranks."""
@@ -124,27 +106,14 @@ class ForcedBoundaryBPE:
             return None
         return tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=self.vocab, special_tokens={})
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        pair = self._pair
-        while len(ids) > 1:
-            best = None
-            for k in range(len(ids) - 1):
-                found = pair.get(ids[k] << 20 | ids[k + 1])
-                if found is not None and (best is None or found < best):
-                    best, at = found, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same by a heap over a linked list, in n log n."""
-        pair, n = self._pair, len(ids)
+    def merge(self, part: bytes) -> list[int]:
+        """One fragment's ids by the merge table: the least merge first, the leftmost of equal ones; a heap over a linked list, in n log n."""
+        pair, ids = self._pair, [self._byte[b] for b in part]
+        n = len(ids)
+        heap = [(found[0], k, ids[k], ids[k + 1], found[1]) for k in range(n - 1) if (found := pair.get(ids[k] << 20 | ids[k + 1])) is not None]
+        if not heap:
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for k in range(n - 1):
-            if (found := pair.get(ids[k] << 20 | ids[k + 1])) is not None:
-                heap.append((found[0], k, ids[k], ids[k + 1], found[1]))
         heapq.heapify(heap)
         while heap:
             _, k, a, b, merged = heapq.heappop(heap)
@@ -161,26 +130,37 @@ class ForcedBoundaryBPE:
                 heapq.heappush(heap, (found[0], p, ids[p], merged, found[1]))
         return [i for i in ids if i >= 0]
 
-    def merge(self, part: bytes) -> list[int]:
-        """One fragment's ids by the merge table alone."""
-        ids = [self._byte[b] for b in part]
-        return self._merge_short(ids) if len(ids) <= _LONG else self._merge_long(ids)
-
-    def fragments(self, pretoken: bytes) -> Iterator[bytes]:
-        """The pretoken cut at every forced boundary."""
-        b = np.frombuffer(pretoken, np.uint8)
-        cuts = [0, *(np.nonzero(~self.inner[b[:-1], b[1:]])[0] + 1).tolist(), len(pretoken)]
-        for start, end in zip(cuts, cuts[1:]):
-            yield pretoken[start:end]
-
-    def _unit(self, unit: str) -> list[int]:
-        if self._core and len(unit) <= _LONG:
-            return self._core.encode_ordinary(unit)
-        ids: list[int] = []
-        for pretoken in self._split.findall(unit):
-            for part in self.fragments(pretoken.encode()):
-                ids += self.merge(part)
-        return ids
+    def _cuts(self, pretokens: list[bytes]) -> tuple[bytes, np.ndarray]:
+        """The pretokens' bytes, and where to cut them: between pretokens and at forced boundaries; both ends are among these."""
+        data = b"".join(pretokens)
+        b = np.frombuffer(data, np.uint8)
+        at = ~self.inner.ravel()[(b[:-1].astype(np.uint16) << np.uint16(8)) | b[1:]]
+        ends = np.cumsum(np.fromiter(map(len, pretokens), np.int64, len(pretokens)))
+        at[ends[:-1] - 1] = True
+        return data, np.concatenate([[0], np.nonzero(at)[0] + 1, ends[-1:]])
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of units that stand behind each other, the space of each but the first in front of it, as little-endian uint32 bytes.
+
+        White space at an end is allowed in front of the first and behind the last.
+        """
+        if not (text := "".join(units)):
+            return [b""] * len(units)
+        data, cuts = self._cuts([p.encode() for p in self._split.findall(text)])
+        places = cuts.tolist()
+        ids = [self._encode(data[a:b]) for a, b in zip(places, places[1:])]
+        raw = array("I", chain.from_iterable(ids)).tobytes()
+        many = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        to = (4 * many[np.searchsorted(cuts, ends)]).tolist()
+        return [raw[a:b] for a, b in zip([0, *to], to)]
+
+    def cuts(self, text: str) -> dict[str, int]:
+        """How many cuts of each kind a text gets: at single spaces, by the pattern elsewhere, and at byte pairs inside pretokens."""
+        units = self.units(text)
+        pretokens = [p.encode() for k, unit in enumerate(units) for p in self._split.findall(" " + unit if k else unit)]
+        spaces, pieces = len(units) - 1, len(self._cuts(pretokens)[1]) - 1 if pretokens else 0
+        return {"space": spaces, "pretoken": len(pretokens) - 1 - spaces, "pair": pieces - len(pretokens)}
 
     def units(self, text: str) -> list[str]:
         """The text cut at forced boundaries before single spaces; the first piece, then what follows each space."""
@@ -192,7 +172,19 @@ class ForcedBoundaryBPE:
 
     def _plain(self, text: str) -> list[bytes]:
         first, *rest = self.units(text)
-        return [array("I", self._unit(first)).tobytes(), *map(self._units.__getitem__, rest)]
+        cache, older = self._cache, self._older
+        new: dict[str, bytes | None] = {u: older.get(u) for u in rest if u not in cache}
+        todo = [u for u, found in new.items() if found is None]
+        # a unit with white space at its end is the text's last and so the last here
+        head, *made = self._encode_units([first, *(" " + u for u in todo)])
+        if not new:
+            return [head, *map(cache.__getitem__, rest)]
+        new.update(zip(todo, made))
+        out = [head, *(cache[u] if u in cache else new[u] for u in rest)]
+        cache.update((u, found) for u, found in new.items() if len(u) <= 64)
+        if len(cache) >= CACHE:
+            self._older, self._cache = cache, {}
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as uint32; none for an empty or null text.  Strings of added tokens become their ids."""
@@ -238,7 +230,7 @@ def vocabulary() -> str:
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a column of the text's token ids; a null or empty text has none."""
+    """docs with a column of the text's token ids; a null or empty text has none; a column of that name is replaced."""
     at = path or vocabulary()
 
     @F.pandas_udf("array<int>")
@@ -250,7 +242,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """docs with the text of a column of token ids; null ids give an empty text."""
+    """docs with the text of a column of token ids; null ids give an empty text; a column of that name is replaced."""
     at = path or vocabulary()
 
     @F.pandas_udf("string")
