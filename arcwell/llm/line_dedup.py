@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwell.llm.common import drop_path, fresh_path
+from arcwell.llm.common import drop_path, fresh_path, numbered, with_fields, without
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -94,17 +94,19 @@ class LevelledRuns:
 def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fan_in: int = 3) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h1, h2) of every document, and (h1, h2, owner) of the keys of two documents or more.
 
-    Batches cut the range of doc_id into equal parts; how many there are changes no result.
+    Batches are cut at quantiles of doc_id, whatever range the ids span; how many there
+    are and where exactly they are cut changes no result.
     """
     spark = docs.sparkSession
     at = fresh_path(spark, "lines")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    step = 1 if low is None else (high - low) // batches + 1
-    each = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _hash_rows(b, min_chars), "doc_id long, h1 long, h2 long")
-    each.withColumn("batch", F.floor((F.col("doc_id") - (low or 0)) / step).cast("int")).write.partitionBy("batch").parquet(at)
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    edges = rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5], 10_000)).first()[0]
+    each = rows.mapInArrow(lambda b: _hash_rows(b, min_chars), "doc_id long, h1 long, h2 long")
+    batch = sum(((F.col("doc_id") > F.lit(x)).cast("int") for x in (edges or ())[: batches - 1]), F.lit(0))
+    each.withColumn("batch", batch).write.partitionBy("batch").parquet(at)
     lines = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(at)
     runs, again = LevelledRuns(spark, fan_in), fresh_path(spark, "repeated")
-    for batch in range(batches if low is not None else 0):
+    for batch in range(batches if edges else 0):
         first = lines.where(F.col("batch") == batch).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
         old = runs.found()
         if old is None:
@@ -118,7 +120,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fan_i
         runs.add(first.where(F.col("known").isNull()))
         drop_path(spark, path)
     runs.clear()
-    if low is None:
+    if not edges:
         spark.createDataFrame([], "h1 long, h2 long, owner long").write.parquet(again)
     return lines.select("doc_id", "h1", "h2"), spark.read.schema("h1 long, h2 long, owner long").parquet(again).distinct()
 
@@ -130,17 +132,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fan_in:
     its lines only in the smallest doc_id, all of them if it repeats there.  A null
     text counts as one empty line and comes back as an empty text.  Rows with one
     doc_id count as one document.  Rows whose doc_id is null neither own nor lose
-    lines.
+    lines.  Columns of docs named like the three that are added are replaced.
     """
+    docs = without(docs, "kept_text", "n_lines", "n_dropped")
     lines, owners = repeated_lines(docs, min_chars, batches, fan_in)
-    lost = lines.join(owners, ["h1", "h2"]).where(F.col("doc_id") != F.col("owner")).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_lost"))
+    lost = lines.join(owners, ["h1", "h2"]).where(F.col("doc_id") != F.col("owner")).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__aw_lost"))
     return rebuilt(docs, lost, min_chars)
 
 
 def rebuilt(docs: DataFrame, lost: DataFrame, min_chars: int) -> DataFrame:
-    """docs without the lines whose hashes are in `_lost` of their doc_id, as kept_text, with the counts of lines."""
-    met = docs.withColumn("_id", F.col("doc_id").cast("long")).join(lost.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+    """docs without the lines whose hashes are in `__aw_lost` of their doc_id, as kept_text, with the counts of lines."""
     names = docs.columns
+    met = docs.join(lost.withColumnRenamed("doc_id", "__aw_id"), F.col("doc_id").cast("long") == F.col("__aw_id"), "left")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +158,7 @@ def rebuilt(docs: DataFrame, lost: DataFrame, min_chars: int) -> DataFrame:
                 dropped.append(len(lines) - len(stay))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], [*names, "kept_text", "n_lines", "n_dropped"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return met.select(*names, "_lost").mapInArrow(run, f"{fields}, kept_text string, n_lines long, n_dropped long")
+    return met.select(*numbered(names), "__aw_lost").mapInArrow(run, with_fields(docs, "kept_text string, n_lines long, n_dropped long"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

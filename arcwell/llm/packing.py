@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwell.llm import bpe
+from arcwell.llm.common import with_fields, without
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -96,7 +97,9 @@ def pack(parts: DataFrame, capacity: int = 2048, open_bins: int = 4096, fan_in:
 
     Full pieces make sequences of their own.  Repeated rows are placed each by
     itself.  Sequence ids are unique, not gapless: the packer's number in the upper bits.
+    Columns named like the two that are added are replaced.
     """
+    parts = without(parts, "sequence_id", "offset")
     names = parts.columns
     packers = max(1, parts.rdd.getNumPartitions() // fan_in)
 
@@ -108,11 +111,13 @@ def pack(parts: DataFrame, capacity: int = 2048, open_bins: int = 4096, fan_in:
             yield rows[names].assign(sequence_id=np.array([base + b for b, _ in placed], "int64"), offset=np.array([o for _, o in placed], "int64"))
 
     mixed = F.xxhash64("doc_id", "piece")
-    dealt = parts.withColumn("_mix", mixed).repartition(packers, "_mix").sortWithinPartitions("_mix", "doc_id", "piece", "ids_crc32")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return dealt.mapInPandas(run, f"{fields}, sequence_id long, offset long")
+    dealt = parts.withColumn("__aw_mix", mixed).repartition(packers, "__aw_mix").sortWithinPartitions("__aw_mix", "doc_id", "piece", "ids_crc32")
+    return dealt.mapInPandas(run, with_fields(parts, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = None, open_bins: int = 4096) -> DataFrame:
-    """All documents in sequences of at most `capacity` tokens: PIECES with sequence_id and offset."""
+    """All documents in sequences of at most `capacity` tokens: PIECES with sequence_id and offset.
+
+    A null doc_id is packed like any other and comes back null.
+    """
     return pack(pieces(docs, capacity, path), capacity, open_bins)

@@ -35,28 +35,29 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 def assign(docs: DataFrame, weights: list[float], grown: list[float] | None = None, key: str = "doc_id", shard: str = "shard") -> DataFrame:
     """docs with their shard; with grown, also grown_shard under these further weights behind the first ones.
 
-    Null keys share one hash and so one shard; repeated keys meet in one shard.
+    Null keys share one hash and so one shard; repeated keys meet in one shard.  A
+    column of docs that has the name of an added one is replaced.
     """
     won = rendezvous(F.col(key), weights)
-    out = docs.withColumn("_won", won).withColumn(shard, F.col("_won.shard").cast("int"))
+    out = docs.withColumn("__aw_won", won).withColumn(shard, F.col("__aw_won.shard").cast("int"))
     if grown is not None:
         more = F.array(*[F.lit(float(w)) for w in grown])
-        best = F.array_max(F.concat(F.array(F.col("_won")), F.transform(more, lambda w, i: F.struct(score(F.col(key), i + len(weights), w).alias("score"), (i + len(weights)).alias("shard")))))
+        best = F.array_max(F.concat(F.array(F.col("__aw_won")), F.transform(more, lambda w, i: F.struct(score(F.col(key), i + len(weights), w).alias("score"), (i + len(weights)).alias("shard")))))
         out = out.withColumn("grown_shard", best["shard"].cast("int"))
-    return out.drop("_won")
+    return out.drop("__aw_won")
 
 
 def slots(rows: DataFrame, order: list[str], shard: str = "shard", runs: int = 512) -> DataFrame:
     """rows with slot, gapless from 0 within each shard, in the order of a hash of the `order` columns."""
     run = F.pmod(F.xxhash64(*order), F.lit(runs)).cast("int")
-    rows = rows.withColumn("_run", run)
-    counts = rows.groupBy(shard, "_run").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(F.col(shard).alias("_shard"), F.col("_run").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(shard, "_run").orderBy(*order)
+    rows = rows.withColumn("__aw_run", run)
+    counts = rows.groupBy(shard, "__aw_run").agg(F.count("*").alias("__aw_n"))
+    before = Window.partitionBy(shard).orderBy("__aw_run").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col(shard).alias("__aw_shard"), F.col("__aw_run").alias("__aw_of"), F.coalesce(F.sum("__aw_n").over(before), F.lit(0)).alias("__aw_first"))
+    within = Window.partitionBy(shard, "__aw_run").orderBy(*order)
     # runs x shards rows at most, whatever the input: proven small enough to broadcast
-    out = rows.withColumn("_k", F.row_number().over(within)).join(F.broadcast(first), (F.col(shard) == F.col("_shard")) & (F.col("_run") == F.col("_of")))
-    return out.withColumn("slot", (F.col("_first") + F.col("_k") - 1).cast("long")).drop("_run", "_k", "_shard", "_of", "_first")
+    out = rows.withColumn("__aw_k", F.row_number().over(within)).join(F.broadcast(first), (F.col(shard) == F.col("__aw_shard")) & (F.col("__aw_run") == F.col("__aw_of")))
+    return out.withColumn("slot", (F.col("__aw_first") + F.col("__aw_k") - 1).cast("long")).drop("__aw_run", "__aw_k", "__aw_shard", "__aw_of", "__aw_first")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:

@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcwell.llm.common import numbered, with_fields, without
+
 #: Random number of each byte value; only 16 bits of the sums are used.
 GEAR = np.random.default_rng(2024).integers(0, 1 << 16, 256, dtype=np.uint16)
 _SPACE = np.zeros(256, bool)
@@ -178,14 +180,15 @@ def dedup_substrings(docs: DataFrame, least_words: int = 16, how: Chunking | Non
 
     Rows with one doc_id count as one document, and what repeats within a document
     stays.  Rows whose doc_id is null neither own nor lose.  Null texts come back
-    as empty ones.
+    as empty ones.  Columns of docs named like the three that are added are replaced.
     """
     how = how or Chunking()
+    docs = without(docs, "kept_text", "spans", "n_lost_words")
     found = chunk_digests(docs, how)
     owners = found.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("digest", "owner")
-    lost = found.join(owners, "digest").where("doc_id > owner").groupBy("doc_id").agg(F.collect_list("digest").alias("_lost")).withColumnRenamed("doc_id", "_id")
+    lost = found.join(owners, "digest").where("doc_id > owner").groupBy("doc_id").agg(F.collect_list("digest").alias("__aw_lost")).withColumnRenamed("doc_id", "__aw_id")
     names = docs.columns
-    met = docs.withColumn("_key", F.col("doc_id").cast("long")).join(lost, F.col("_key") == F.col("_id"), "left").select(*names, "_lost")
+    met = docs.join(lost, F.col("doc_id").cast("long") == F.col("__aw_id"), "left").select(*numbered(names), "__aw_lost")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,5 +209,4 @@ def dedup_substrings(docs: DataFrame, least_words: int = 16, how: Chunking | Non
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.string()), pa.array(gone, span), pa.array(words, pa.int64())], [*names, "kept_text", "spans", "n_lost_words"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return met.mapInArrow(run, f"{fields}, kept_text string, spans array<struct<start:bigint,end:bigint>>, n_lost_words long")
+    return met.mapInArrow(run, with_fields(docs, "kept_text string, spans array<struct<start:bigint,end:bigint>>, n_lost_words long"))
