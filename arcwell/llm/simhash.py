@@ -9,9 +9,11 @@ passes the radius, the whole group below is left out.
 
 To spread the search over tasks without sending any fingerprint everywhere, the
 64 bits are cut into radius + 1 blocks.  Two fingerprints at most `radius` bits
-apart agree on a block, so each fingerprint goes, rotated, to the task of each of
-its blocks' values, and that block is the top node of the index there.  Only
-different fingerprints take part: copies are reduced before the shuffle.
+apart agree on a block, so each fingerprint goes to the task of each of its blocks'
+values, and that block is the top node of the index there.  A block value that more
+than `most` fingerprints share is divided again: the bits outside it are cut into
+radius + 1 parts, of which two near ones agree on one too.  Only different
+fingerprints take part: copies are reduced before the shuffle.
 
 A task joins its index with itself and returns no pairs but, for each fingerprint,
 one link to the smallest of its connected ones: their number is bounded by the
@@ -22,7 +24,7 @@ over all tasks come from the star algorithm in arcwell.llm.graph.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +84,8 @@ class GrayIndex:
     """Hierarchical index over different 64-bit codes whose first `top` bits are one node each."""
 
     def __init__(self, codes: np.ndarray, top: int = 16, fan_out: int = 8):
-        codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+        self.order = np.argsort(gray_rank(codes), kind="stable")
+        codes = codes[self.order]
         self.codes = codes
         head = codes >> np.uint64(64 - top) if top else np.zeros(len(codes), np.uint64)
         run = np.concatenate([[0], np.cumsum(head[1:] != head[:-1])]) if len(codes) else np.zeros(0, np.int64)
@@ -154,12 +157,21 @@ class GrayIndex:
                 if ok.any():
                     yield q[ok], node[ok]
 
-    def links(self, radius: int, step: int = 1 << 14) -> np.ndarray:
-        """For each code the position of the smallest one that it reaches over pairs within the radius."""
-        comp = np.arange(len(self.codes))
-        for at in range(0, len(comp), step):
-            for a, b in self.pairs(np.arange(at, min(at + step, len(comp))), radius, comp.copy()):
+    def links(self, radius: int, step: int = 1 << 14, comp: np.ndarray | None = None, agree: Callable | None = None) -> np.ndarray:
+        """For each code the position of the smallest one that it reaches over pairs within the radius.
+
+        comp joins codes beforehand; agree(a, b) may refuse pairs.  The first steps are
+        short, so that a large group is one component before most of it is searched.
+        """
+        comp = np.arange(len(self.codes)) if comp is None else comp
+        at, size = 0, min(step, 256)
+        while at < len(comp):
+            for a, b in self.pairs(np.arange(at, min(at + size, len(comp))), radius, comp.copy()):
+                if agree is not None:
+                    ok = agree(a, b)
+                    a, b = a[ok], b[ok]
                 comp = _unite(comp, a, b)
+            at, size = at + size, min(2 * size, step)
         return comp
 
 
@@ -178,34 +190,63 @@ def _unite(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         comp = parent[comp]
 
 
-def _rotated(codes: np.ndarray, by: int) -> np.ndarray:
-    return codes if not by else codes << np.uint64(by) | codes >> np.uint64(64 - by)
+def _parts(mask: int, n: int) -> list[int]:
+    """The bits outside a mask in n parts, each with the mask's own bits."""
+    rest = [b for b in range(63, -1, -1) if not mask >> b & 1]
+    cuts = [len(rest) * k // n for k in range(n + 1)]
+    return [mask | sum(1 << b for b in rest[x:y]) for x, y in zip(cuts, cuts[1:])]
+
+
+def arranged(codes: np.ndarray, mask: int) -> np.ndarray:
+    """The codes with the mask's bits in front."""
+    places = sorted(range(64), key=lambda b: (not mask >> b & 1, -b))
+    out = np.zeros_like(codes)
+    for k, b in enumerate(places):
+        out |= (codes >> np.uint64(b) & np.uint64(1)) << np.uint64(63 - k)
+    return out
+
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-def links(different: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges (u, v) between fingerprints (column fp, each once) that give the components of all pairs within the radius."""
-    blocks = radius + 1
-    width = 64 // blocks
-    fp = F.col("fp")
-    # rotation b brings bits [b * width, (b + 1) * width) from the left to the front
-    heads = F.array(*[F.struct(F.lit(b).alias("b"), F.shiftrightunsigned(fp, 64 - (b + 1) * width).bitwiseAND(F.lit((1 << width) - 1)).alias("head")) for b in range(blocks)])
-    dealt = different.select("fp", F.explode(heads).alias("h")).select("fp", "h.b", "h.head").repartition("b", "head")
+
+def links(different: DataFrame, radius: int = 3, most: int = 1 << 18) -> DataFrame:
+    """Edges (u, v) between fingerprints (column fp, each once) that give the components of all pairs within the radius.
+
+    Groups of over `most` fingerprints that agree under a mask are cut by longer masks,
+    until none is left; that changes no component.  Under a mask that leaves `radius`
+    bits free there are 2 to the power of `radius` fingerprints at most.
+    """
+    most = max(most, 1 << radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
         if not held:
             return
-        fps, block = (np.concatenate(x) for x in zip(*held))
-        for b in range(blocks):
-            by = b * width
-            index = GrayIndex(_rotated(fps[block == b], by), width)
-            comp = index.links(radius)
+        fps, masks = (np.concatenate(x) for x in zip(*held))
+        for signed in np.unique(masks).tolist():
+            mask = signed % (1 << 64)
+            own = fps[masks == signed]
+            index = GrayIndex(arranged(own.view(np.uint64), mask), mask.bit_count())
+            comp, own = index.links(radius), own[index.order]
             linked = np.nonzero(comp != np.arange(len(comp)))[0]
             if len(linked):
-                ends = [_rotated(index.codes[x], (64 - by) % 64).view(np.int64) for x in (linked, comp[linked])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(own[comp[linked]])], ["u", "v"])
 
-    return dealt.select("fp", "b").mapInArrow(run, "u long, v long")
+    wide = F.array(*[F.lit(_signed(m)) for m in _parts(0, radius + 1)])
+    rows, edges = different.select("fp", F.explode(wide).alias("mask")), None
+    while True:
+        keyed = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        hot = kept(keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mask", "value"), "hot")
+        masks = [r[0] for r in hot.select("mask").distinct().collect()]
+        cold = keyed.join(hot, ["mask", "value"], "left_anti") if masks else keyed
+        found = cold.repartition("mask", "value").select("fp", "mask").mapInArrow(run, "u long, v long")
+        edges = found if edges is None else edges.union(found)
+        if not masks:
+            return edges
+        longer = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(_signed(p)) for p in _parts(m % (1 << 64), radius + 1)]))])
+        # the same longer mask is reached in several ways
+        rows = kept(keyed.join(hot, ["mask", "value"], "left_semi").select("fp", F.explode(longer[F.col("mask")]).alias("mask")).distinct(), "divided")
 
 
 def near_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -234,6 +275,6 @@ def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     doc_id stay.
     """
     found = near_components(docs.select("doc_id", "text"), words, radius)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    met = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stay"), "left")
-    return met.where(F.col("_stay").isNotNull() | F.col("doc_id").isNull()).drop("_stay")
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__aw_stay")).distinct()
+    met = docs.join(stay, F.col("doc_id").cast("long") == F.col("__aw_stay"), "left")
+    return met.where(F.col("__aw_stay").isNotNull() | F.col("doc_id").isNull()).drop("__aw_stay")
