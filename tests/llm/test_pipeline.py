@@ -71,3 +71,45 @@ def test_near_copies_by_brute_force(spark):
     docs = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id long, text string")
     stay = [r["doc_id"] for r in corpus_pipeline.without_copies(spark, docs, "").collect()]
     assert sorted(d for d in stay if d is not None) == sorted(set(root.values())) and stay.count(None) == 1
+
+
+def test_large_groups_are_dealt_in_parts(spark):
+    """Groups over the bound meet part by part; one fingerprint's round and the others' give the same components."""
+    from arcwell.llm import near_copies
+
+    rng = random.Random(17)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(150)]
+    texts = []
+    for _ in range(60):
+        changed = list(words)
+        changed[rng.randrange(150)] = "other"
+        texts.append(" ".join(changed))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for how in (near_copies.Search(), near_copies.Search(most=7)):
+        got = {r["component_id"] for r in near_copies.near_components(docs, how=how).collect()}
+        assert got == {0}
+
+
+def test_sketches_by_brute_force():
+    import numpy as np
+    import xxhash
+
+    from arcwell.llm import near_copies
+
+    rng = random.Random(2)
+    for n in (0, 1, 2, 300, 700):
+        text = " ".join("".join(rng.choices("abc", k=4)) for _ in range(n))
+        words = text.split()
+        runs = {" ".join(words[k : k + 2]) for k in range(max(1, n - 1))}
+        hashes = near_copies.hashed(text, 2)
+        assert set(hashes.tolist()) == {xxhash.xxh64_intdigest(r.encode(), 42) for r in runs} and len(hashes) == len(runs)
+        times = [int(x) | 1 for x in np.random.default_rng(2025).integers(0, 1 << 64, 3, dtype=np.uint64)]
+        for k, code in enumerate(near_copies.sketch(hashes, 3)):
+            mixed = []
+            for h in hashes.tolist():
+                x = h * times[k] % 2**64
+                x ^= x >> 32
+                x = x * 0x9E3779B97F4A7C15 % 2**64
+                mixed.append((x ^ x >> 29).to_bytes(8, "little"))
+            bits = [2 * sum(m[b // 8] >> 7 - b % 8 & 1 for m in mixed) > len(mixed) for b in range(64)]
+            assert int(code).to_bytes(8, "little") == bytes(sum(bits[8 * j + i] << 7 - i for i in range(8)) for j in range(8))
