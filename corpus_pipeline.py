@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwell.llm import line_dedup, near_copies, packing, quality, substrings
-from arcwell.llm.common import kept
+from arcwell.llm.common import drop_path, fresh_path, kept, scope
 from arcwell.shipping import ship
 
 
@@ -34,7 +34,7 @@ def _named(docs: DataFrame, out: DataFrame, text: str = "text") -> DataFrame:
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; null and empty texts are scored like any other, repeated rows stay or go together."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
@@ -48,7 +48,7 @@ def without_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: linked by five-word Jaccard similarities of 0.8 or more."""
+    """One document of each group of near copies: operator 6's index finds candidates, five-word Jaccard similarities of 0.8 or more link them."""
     ship(spark)
     return _named(docs, near_copies.one_of_each(_plain(docs)))
 
@@ -60,7 +60,7 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences."""
+    """Token sequences: PIECES with sequence_id and offset, as op3 returns them."""
     ship(spark)
     return packing.pack_documents(docs)
 
@@ -72,10 +72,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; what each keeps is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = kept(docs, "stage")
+    """The stages in order over documents; what each keeps is written and read again.
+
+    One table is left in the shared folder, the result's, until the application ends.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        at = fresh_path(spark, "stage")
+        with scope(spark):
+            docs = kept(stage(spark, docs, sf_dir), path=at)
+        if before:
+            drop_path(spark, before)
+        before = at
     return docs
