@@ -63,17 +63,29 @@ def join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def optional(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Left outer join on all shared variables (extension)."""
-    shared = [v for v in variables(a) if v in variables(b)]
-    return a.join(b, shared, "left") if shared else a.join(b, F.lit(True), "left")
-
-
-def star(parts: Sequence[DataFrame], key: str) -> DataFrame:
-    """Multi-way join on one variable.
+    """Left outer join on all shared variables (extension); multiplicities multiply, a row without a match keeps its own.
 
-    The chain keeps the partitioning by the key, so each input is shuffled once.
+    Without a shared variable each row meets all of b, or none if b is empty: a cross
+    product as the query says, of which Spark picks the form by size.
     """
-    return reduce(lambda a, b: join(a, b), parts)
+    shared = [v for v in variables(a) if v in variables(b)]
+    counts = N in a.columns or N in b.columns
+    if N in b.columns:
+        b = b.withColumnRenamed(N, "__m")
+    if shared:
+        out = a.join(b, shared, "left")
+    else:
+        # at most one row goes to all tasks
+        some = b.select(F.lit(True).alias("__some")).limit(1)
+        alone = a.join(F.broadcast(some), F.lit(True), "left_anti")
+        missing = [f for f in b.schema.fields if f.name not in a.columns]
+        out = a.crossJoin(b).unionByName(alone.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing]))
+    if not counts:
+        return out
+    one = F.lit(1).cast("long")
+    own = F.col(N) if N in a.columns else one
+    theirs = F.coalesce(F.col("__m"), one) if "__m" in out.columns else one
+    return out.withColumn(N, own * theirs).drop("__m")
 
 
 def within(df: DataFrame, column: str, vertices: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ class Options:
     aggregate: bool = True
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
     table_functions: dict[str, Callable] = field(default_factory=dict)
-    most_steps: int = 64
+    most_steps: int = 10_000
 
 
 @dataclass
@@ -196,7 +196,7 @@ class Plan:
         return None
 
     def _reach(self, rows: Rows | None, r: Reach, depth: int) -> Rows | None:
-        """One or more edges, level by level until nothing new is reached (extension)."""
+        """One or more edges, level by level from the bound end until nothing new is reached (extension)."""
         edge = self.graph.scan(Pattern(Var("__a"), r.predicate, Var("__b")))
         self._note(depth, "reaches")
         if edge is None:
@@ -204,9 +204,25 @@ class Plan:
         if len({kind for _, kind in edge.dtypes}) > 1:
             edge = self._decode(_rows(edge), edge.columns).df
         edge = edge.distinct()
-        found = front = edge
+        # the search begins at an end that is known: a constant, or the values found so far
+        front, forward = edge, True
+        for slot, what in (("__a", r.start), ("__b", r.end)):
+            if not isinstance(what, Var):
+                front, forward = edge.where(self.graph.equals(edge, slot, what)), slot == "__a"
+                break
+        else:
+            for slot, what in (("__a", r.start), ("__b", r.end)):
+                if rows is not None and what.name in rows.df.columns:
+                    known = self._like(rows, what.name, edge.schema[slot].dataType)
+                    if known is not None:
+                        front, forward = edge.join(known.toDF("__seed").distinct(), F.col(slot) == F.col("__seed"), "left_semi"), slot == "__a"
+                        break
+        found = front
         for _ in range(self.options.most_steps):
-            step = front.select("__a", F.col("__b").alias("__m")).join(edge.select(F.col("__a").alias("__m"), "__b"), "__m").select("__a", "__b").distinct()
+            if forward:
+                step = front.select("__a", F.col("__b").alias("__m")).join(edge.select(F.col("__a").alias("__m"), "__b"), "__m").select("__a", "__b").distinct()
+            else:
+                step = front.select(F.col("__a").alias("__m"), "__b").join(edge.select("__a", F.col("__b").alias("__m")), "__m").select("__a", "__b").distinct()
             front = step.join(found, ["__a", "__b"], "left_anti").checkpoint()
             if front.isEmpty():
                 break
@@ -218,6 +234,10 @@ class Plan:
             slots[slot] = what.name if isinstance(what, Var) else self.graph.equals(found, slot, what)
         return self._join(rows, _rows(op.match(found, slots)))
 
+    def _like(self, rows: Rows, name: str, kind) -> DataFrame | None:
+        """The values of a variable if they are held as that type."""
+        return rows.df.select(name) if rows.df.schema[name].dataType == kind else None
+
     def _function(self, rows: Rows, f: TableFunction, depth: int) -> Rows:
         from arcwell.functions.table import lateral
 

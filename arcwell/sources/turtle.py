@@ -1,7 +1,7 @@
 """Turtle and N-Triples: a tokenizer, a pull parser that recovers, readers and a writer.
 
 N-Triples files split at lines, so they are read as text and parsed partition by
-partition.  Turtle files carry prefixes and blank nodes across lines and are parsed
+partition, each line by itself, so a bad one costs no other.  Turtle files carry prefixes and blank nodes across lines and are parsed
 a whole file in a task, many files side by side.  Bad statements become rows of
 `error`, the rest of their line is skipped, and reading goes on.
 """
@@ -152,7 +152,7 @@ class Parser:
         """What may be subject or object: a name, a blank node, a list."""
         self._skip()
         if m := self._take(_BLANK):
-            return iri(f"_:{self.scope}{m[1]}")
+            return iri(f"_:{self.scope}{'x' * bool(self.scope)}{m[1]}")
         if self._symbol("["):
             found = self._fresh()
             if not self._symbol("]"):
@@ -254,9 +254,16 @@ def read_ntriples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lines in batches:
-            yield from _frame(iter([Parser("\n".join(lines["value"]))]))
+            rows: list[tuple] = []
+            for text, file in zip(lines["value"], lines["file"]):
+                parser = Parser(text)
+                rows += [(_row(s), _row(p), _row(o), None) for s, p, o in parser]
+                rows += [(None, None, None, f"{file}: {message} in {text[:80]!r}") for _, message in parser.errors]
+            if rows:
+                yield pd.DataFrame(rows, columns=["s", "p", "o", "error"])
 
-    return spark.read.text(paths).mapInPandas(run, TRIPLES)
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.where(~F.col("value").rlike(r"^\s*(#.*)?$")).mapInPandas(run, TRIPLES)
 
 
 def read_turtle(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -266,7 +273,7 @@ def read_turtle(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         for files in batches:
             yield from _frame(Parser(text, f"f{scope}") for scope, text in zip(files["scope"], files["value"]))
 
-    files = spark.read.text(paths, wholetext=True).select("value", F.lower(F.hex(F.crc32(F.col("_metadata.file_path").cast("binary")))).alias("scope"))
+    files = spark.read.text(paths, wholetext=True).select("value", F.substring(F.sha2(F.col("_metadata.file_path"), 256), 1, 32).alias("scope"))
     return files.mapInPandas(run, TRIPLES)
 
 

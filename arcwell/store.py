@@ -1,14 +1,20 @@
 """A persistent store: dictionary-encoded triples on Parquet, with uncommitted and committed inserts.
 
-    <path>/v<N>/terms      id, type, lex, sub
+    <path>/v<N>/terms      id, type, lex, sub by h, a hash of lex
     <path>/v<N>/facts      s, o, created by p
     <path>/v<N>/stats      p, n, subjects, objects: counts by predicate for the join order
+    <path>/v<N>/meta       the clock when the version was written, and the number of values of h
     <path>/v<N>/delta-<k>-<x>/ the same three of one committed insert, in use once its stats are complete
     <path>/CURRENT         the number N, replaced last when a store is rewritten
 
-Facts are a set.  A scan reads base and deltas and drops what stands in both.
+Facts are a set: an insert writes only those that the store lacks, so a scan reads
+base and deltas and has nothing to drop.  The first load of an empty store is its base.
+One writer commits at a time.  The clock counts commits and never goes back; a fact
+keeps the time of its first commit through compaction.
 Predicates partition the facts, so a pattern with a constant one reads only its
-files; within them rows are sorted by subject for the row groups' statistics.
+files; within them rows are sorted by subject for the row groups' statistics.  The
+dictionary is partitioned by a hash of the text and sorted by it, so a constant is
+looked up in one part of it, and all constants of a query at once.
 """
 
 from __future__ import annotations
@@ -17,21 +23,28 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwell.operators.solutions import match
 from arcwell.plans.compile import Options, plan
 from arcwell.plans.optimizer import Size
-from arcwell.plans.parser import Pattern, Var
+from arcwell.plans.parser import Pattern, Var, constants, parse
 from arcwell.sources import turtle
 from arcwell.terms import TERM, Term, rendered, term
 
-TERMS = "id long, type int, lex string, sub string"
+TERMS = "id long, type int, lex string, sub string, h int"
 FACTS = "s long, p long, o long, created long"
 STATS = "p long, n long, subjects long, objects long"
 
 
+def _part(lex: str, n: int) -> int:
+    """The part of the dictionary that holds a text, as pmod(xxhash64(lex), n)."""
+    h = xxhash.xxh64_intdigest(lex.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % n
+
+
 def _key(df: DataFrame, slot: str) -> list[Column]:
     return [F.col(f"{slot}.type").alias("type"), F.col(f"{slot}.lex").alias("lex"), F.col(f"{slot}.sub").alias("sub")]
 
@@ -39,7 +52,8 @@ def _key(df: DataFrame, slot: str) -> list[Column]:
 class Store:
     """Implements the graph protocol of arcwell.plans.compile on ids."""
 
-    def __init__(self, spark: SparkSession, path: str, as_of: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, as_of: int | None = None, term_parts: int = 16):
+        """term_parts: how many parts the dictionary of a new store has; a part should stay below some GB."""
         self.spark, self.path, self.as_of = spark, path.rstrip("/"), as_of
         self.options = Options()
         self.pending: list[tuple[Term, Term, Term]] = []
@@ -48,7 +62,8 @@ class Store:
         self._ids: dict[Term, int | None] = {}
         self._sizes: dict[int | None, tuple[float, float, float, float]] = {}
         if not self._exists("CURRENT"):
-            self._rewrite(spark.createDataFrame([], "s " + TERM + ", p " + TERM + ", o " + TERM), 0)
+            self._term_parts = term_parts
+            self._rewrite(lambda at: self._encode(spark.createDataFrame([], f"s {TERM}, p {TERM}, o {TERM}"), False, at, 0), 0)
 
     # files
 
@@ -70,15 +85,23 @@ class Store:
         out.write(bytearray(text.encode()))
         out.close()
 
-    @property
-    def version(self) -> str:
-        fs, at = self._hadoop("CURRENT")
+    def _text(self, name: str) -> str:
+        fs, at = self._hadoop(name)
         stream = fs.open(at)
         try:
             return bytes(stream.readAllBytes()).decode().strip()
         finally:
             stream.close()
 
+    @property
+    def version(self) -> str:
+        return self._text("CURRENT")
+
+    def _meta(self) -> tuple[int, int]:
+        """The clock when the version was written, and the dictionary's parts."""
+        clock, parts = self._text(f"{self.version}/meta").split()
+        return int(clock), int(parts)
+
     def _deltas(self) -> list[str]:
         return [f"{self.version}/{n}" for n in self._list(self.version) if n.startswith("delta-") and self._exists(f"{self.version}/{n}/stats/_SUCCESS")]
 
@@ -94,16 +117,17 @@ class Store:
     def terms(self) -> DataFrame:
         """The dictionary; a term that a delta brings is in no other part."""
         parts = [f"{self.path}/{self.version}/terms", *(f"{self.path}/{d}/terms" for d in self._deltas())]
-        return self.spark.read.schema(TERMS).parquet(*parts)
+        return self._dictionary(parts)
+
+    def _dictionary(self, parts: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(TERMS).parquet(p).select("id", "type", "lex", "sub", "h") for p in parts])
 
     def facts(self) -> DataFrame:
         """All triples as ids, each once; `store_state` says of which state, for indexes built of them."""
         state = self.state()
         base = self.spark.read.schema(FACTS).parquet(f"{self.path}/{self.version}/facts").select("s", "p", "o", "created")
         deltas = [f"{self.path}/{d}/facts" for d in self._deltas()]
-        if deltas:
-            more = reduce(DataFrame.unionByName, [self.spark.read.schema(FACTS).parquet(d).select("s", "p", "o", "created") for d in deltas])
-            base = base.unionByName(more).groupBy("s", "p", "o").agg(F.min("created").alias("created"))
+        base = reduce(DataFrame.unionByName, [base, *(self.spark.read.schema(FACTS).parquet(d).select("s", "p", "o", "created") for d in deltas)])
         if self.as_of is not None:
             base = base.where(F.col("created") <= self.as_of)
         out = base.select("s", "p", "o")
@@ -121,11 +145,13 @@ class Store:
         return self._ids[t]
 
     def lookup(self, terms: list[Term]) -> dict[Term, int | None]:
-        """Ids of several terms by one pass over the dictionary."""
+        """Ids of several terms by one pass over the parts of the dictionary that may hold them."""
         todo = [t for t in dict.fromkeys(terms) if t not in self._ids]
         if todo:
-            found = self.terms().where(F.col("lex").isin(*{t.lex for t in todo})).collect() if len(todo) < 1000 else self.terms().join(self.spark.createDataFrame([(t.lex,) for t in todo], "lex string").distinct(), "lex", "left_semi").collect()
-            by = {Term(r["type"], r["lex"], r["sub"]): r["id"] for r in found}
+            n = self._meta()[1]
+            words = self.terms().where(F.col("h").isin(*{_part(t.lex, n) for t in todo}))
+            words = words.where(F.col("lex").isin(*{t.lex for t in todo})) if len(todo) < 1000 else words.join(self.spark.createDataFrame([(t.lex,) for t in todo], "lex string").distinct(), "lex", "left_semi")
+            by = {Term(r["type"], r["lex"], r["sub"]): r["id"] for r in words.select("type", "lex", "sub", "id").collect()}
             self._ids |= {t: by.get(t) for t in todo}
         return {t: self._ids[t] for t in terms}
 
@@ -200,15 +226,16 @@ class Store:
     def _graph(self, text: str):
         """The store itself, or with its indexes around it where they help this query.
 
-        An index of another state lacks vertices or has other ids, and is not used.
+        An index of another state lacks vertices or has other ids, and is not used.  All
+        constants of the query are looked up at once.
         """
+        self.lookup(list(constants(parse(text).where)))
         indexes = [i for i in (self.path_index, self.graph_index) if i is not None] if self.options.indexes else []
         now = self.state() if indexes else None
         indexes = [i for i in indexes if i.of == now]
         if not indexes:
             return self
         from arcwell.indexes import Indexed
-        from arcwell.plans.parser import parse
 
         return Indexed(self, parse(text), indexes)
 
@@ -234,53 +261,89 @@ class Store:
 
     # writing
 
-    def _encode(self, triples: DataFrame, old: DataFrame | None, first: int, at: str, created: int) -> None:
-        """Writes new terms and the facts of term triples; terms of `old` keep their ids."""
+    def _encode(self, triples: DataFrame, more: bool, at: str, created: int, known: list[str] | None = None) -> None:
+        """Writes new terms and new facts of term triples at a folder; with more, those that the store has keep their ids and are left out.
+
+        known: texts of all the terms, where the driver has them, so that only their
+        parts of the dictionary are read.
+        """
+        parts = self._meta()[1] if self._exists("CURRENT") else self._term_parts
         slots = triples.select(F.explode(F.array("s", "p", "o")).alias("t"))
-        words = slots.select(*_key(slots, "t")).distinct()
-        if old is not None:
-            words = words.join(old.select("type", "lex", "sub", F.lit(True).alias("__old")), (words["type"] == old["type"]) & (words["lex"] == old["lex"]) & words["sub"].eqNullSafe(old["sub"]), "left_anti")
+        words = slots.select(*_key(slots, "t")).distinct().withColumn("h", F.pmod(F.xxhash64("lex"), F.lit(parts)).cast("int"))
+        first, have = 0, None
+        if more:
+            top = self.terms().agg(F.max("id")).first()[0]
+            # the next free id; the ids of one insert spread over partitions of 2**33
+            first = 0 if top is None else top + 1
+            old = self.terms()
+            if known is not None and len(known) < 1000:
+                old = old.where(F.col("h").isin(*{_part(x, parts) for x in known}) & F.col("lex").isin(*set(known))) if known else old.limit(0)
+            same = (words["h"] == old["h"]) & (words["type"] == old["type"]) & (words["lex"] == old["lex"]) & words["sub"].eqNullSafe(old["sub"])
+            have = old.join(words, same, "left_semi").select("id", "type", "lex", "sub")
+            words = words.join(old, same, "left_anti")
         # ids must not change when a task runs again: they are written once, then only read
-        words.select((F.monotonically_increasing_id() + first).alias("id"), "type", "lex", "sub").write.parquet(f"{self.path}/{at}/terms")
-        new = self.spark.read.schema(TERMS).parquet(f"{self.path}/{at}/terms")
-        every = new if old is None else old.select("id", "type", "lex", "sub").unionByName(new)
+        numbered = words.hint("rebalance", "h").sortWithinPartitions("h", "lex").select((F.monotonically_increasing_id() + first).alias("id"), "type", "lex", "sub", "h")
+        numbered.write.partitionBy("h").parquet(f"{self.path}/{at}/terms")
+        new = self._dictionary([f"{self.path}/{at}/terms"]).select("id", "type", "lex", "sub")
+        every = new if have is None else have.unionByName(new)
         out = triples
         for slot in "spo":
             named = every.select(F.col("id").alias(f"{slot}_id"), term(F.col("type"), F.col("lex"), F.col("sub")).alias(f"{slot}_term"))
             out = out.join(named, F.col(slot).eqNullSafe(F.col(f"{slot}_term")))
-        facts = out.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o")).distinct().withColumn("created", F.lit(created).cast("long"))
-        # a hot predicate is spread by subject ranges; each task writes few predicates
-        spread = facts.repartition("p", F.pmod(F.hash("s"), F.lit(16))).sortWithinPartitions("p", "s", "o")
-        spread.write.partitionBy("p").parquet(f"{self.path}/{at}/facts")
+        facts = out.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o")).distinct()
+        if more:
+            facts = facts.join(Store(self.spark, self.path).facts(), ["s", "p", "o"], "left_anti")
+        self._write_facts(facts.withColumn("created", F.lit(created).cast("long")), at)
+
+    def _write_facts(self, facts: DataFrame, at: str) -> None:
+        """Facts by predicate and their counts."""
+        # rebalanced: a hot predicate takes as many tasks as its size asks for, each task writes few predicates
+        facts.hint("rebalance", "p").sortWithinPartitions("p", "s", "o").write.partitionBy("p").parquet(f"{self.path}/{at}/facts")
         written = self.spark.read.schema(FACTS).parquet(f"{self.path}/{at}/facts")
         written.groupBy("p").agg(F.count("*").alias("n"), F.approx_count_distinct("s").alias("subjects"), F.approx_count_distinct("o").alias("objects")).coalesce(1).write.parquet(f"{self.path}/{at}/stats")
 
-    def _rewrite(self, triples: DataFrame, created: int) -> None:
+    def _rewrite(self, write: Callable[[str], None], clock: int) -> None:
+        """A new version that write(folder) fills; it replaces the old one last."""
+        parts = self._meta()[1] if self._exists("CURRENT") else self._term_parts
         at = "v" + uuid.uuid4().hex
-        self._encode(triples, None, 0, at, created)
+        write(at)
         if not self._exists(f"{at}/stats/_SUCCESS"):
             raise RuntimeError("the store was not written")
+        self._put(f"{at}/meta", f"{clock} {parts}")
         self._put("CURRENT", at)
         self._forget()
 
+    def _replace(self, write: Callable[[str], None], clock: int) -> None:
+        old = self.version
+        self._rewrite(write, clock)
+        fs, at = self._hadoop(old)
+        fs.delete(at, True)
+
     def _now(self) -> int:
-        return 1 + len(self._deltas())
+        """Time of the next commit."""
+        return self._meta()[0] + 1 + len(self._deltas())
 
     def load(self, paths: str | list[str], ntriples: bool | None = None) -> DataFrame:
         """Adds the triples of files and returns the errors found in them, column `error`."""
         names = [paths] if isinstance(paths, str) else paths
         lines = all(p.endswith((".nt", ".ntriples")) for p in names) if ntriples is None else ntriples
-        rows = (turtle.read_ntriples if lines else turtle.read_turtle)(self.spark, names)
+        # parsed once
+        at = f"{self.path}/load-{uuid.uuid4().hex}"
+        (turtle.read_ntriples if lines else turtle.read_turtle)(self.spark, names).write.parquet(f"{at}/rows")
+        rows = self.spark.read.schema(turtle.TRIPLES).parquet(f"{at}/rows")
+        rows.where(F.col("error").isNotNull()).select("error").write.parquet(f"{at}/errors")
         self.add(rows.where(F.col("s").isNotNull()).select("s", "p", "o"))
-        return rows.where(F.col("error").isNotNull()).select("error")
-
-    def add(self, triples: DataFrame) -> None:
-        """Commits (s, p, o) term columns as one delta; scans drop what the store has already."""
-        at = f"{self.version}/delta-{self._now():06d}-{uuid.uuid4().hex[:8]}"
-        old = self.terms()
-        top = old.agg(F.max("id")).first()[0]
-        # the next free id; the ids of one insert spread over partitions of 2**33
-        self._encode(triples.select("s", "p", "o").distinct(), old, 0 if top is None else top + 1, at, self._now())
+        fs, staged = self._hadoop(f"{at.removeprefix(self.path + '/')}/rows")
+        fs.delete(staged, True)
+        return self.spark.read.schema("error string").parquet(f"{at}/errors")
+
+    def add(self, triples: DataFrame, known: list[str] | None = None) -> None:
+        """Commits (s, p, o) term columns: as the base of an empty store, else as one delta of what the store lacks."""
+        rows, now = triples.select("s", "p", "o").distinct(), self._now()
+        if not self._deltas() and self.spark.read.schema(STATS).parquet(f"{self.path}/{self.version}/stats").isEmpty():
+            self._replace(lambda at: self._encode(rows, False, at, now), now)
+        else:
+            self._encode(rows, True, f"{self.version}/delta-{now:06d}-{uuid.uuid4().hex[:8]}", now, known)
         self._forget()
 
     def insert(self, text: str) -> int:
@@ -311,15 +374,20 @@ class Store:
         if not self.pending:
             return
         rows = [tuple((t.type, t.lex, t.sub) for t in x) for x in self.pending]
-        self.add(self.spark.createDataFrame(rows, f"s {TERM}, p {TERM}, o {TERM}"))
+        self.add(self.spark.createDataFrame(rows, f"s {TERM}, p {TERM}, o {TERM}"), [t.lex for x in self.pending for t in x])
         self.pending = []
 
     def compact(self) -> None:
-        """Merges base and deltas into a new version; the old one stays readable until it is replaced."""
-        old = self.version
-        self._rewrite(self.triples(), self._now())
-        fs, at = self._hadoop(old)
-        fs.delete(at, True)
+        """Merges base and deltas into a new version, which keeps ids and times; the old one stays readable until it is replaced."""
+        whole = Store(self.spark, self.path)
+        base = [f"{self.path}/{d}/facts" for d in (self.version, *self._deltas())]
+        facts = reduce(DataFrame.unionByName, [self.spark.read.schema(FACTS).parquet(d).select("s", "p", "o", "created") for d in base])
+
+        def write(at: str) -> None:
+            whole.terms().hint("rebalance", "h").sortWithinPartitions("h", "lex").write.partitionBy("h").parquet(f"{self.path}/{at}/terms")
+            self._write_facts(facts, at)
+
+        self._replace(write, self._now() - 1)
 
     def dump(self, path: str) -> None:
         turtle.write_ntriples(self.triples(), path)

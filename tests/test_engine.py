@@ -315,3 +315,99 @@ def test_indexes_of_an_earlier_state_are_not_used(spark, tmp_path):
     assert store.query(text).count() == 3  # what the old list would leave
     store.compact()
     assert store._graph(text) is store and store.query(text).count() == 4
+
+
+def test_clock_survives_compaction(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    for k in range(2):
+        s.insert(f"<a> <p> <b{k}>")
+        s.commit()
+    s.compact()
+    s.insert("<a> <p> <b2> , <b0>")
+    s.commit()
+    at = lambda t: sorted(r[0] for r in Store(spark, s.path, as_of=t).query("select ?o where { <a> <p> ?o }").collect())
+    assert [at(t) for t in (0, 1, 2, 3)] == [[], ["b0"], ["b0", "b1"], ["b0", "b1", "b2"]]
+    s.compact()
+    assert [at(t) for t in (1, 2, 3)] == [["b0"], ["b0", "b1"], ["b0", "b1", "b2"]] and s._deltas() == []
+    s.insert("<c> <p> <b0>")
+    s.commit()
+    assert at(4) == at(3) and Store(spark, s.path, as_of=3).facts().count() == 3 and s.facts().count() == 4
+
+
+def test_scans_have_nothing_to_drop(spark, tmp_path):
+    """Deltas are disjoint, so a pattern is a union of scans without an aggregate, and an insert writes only what is new."""
+    s = Store(spark, str(tmp_path / "s"))
+    for text in ("<a> <p> <b> , <c>", "<a> <p> <c> , <d>", "<x> <p> <c> . <a> <p> <b>"):
+        s.insert(text)
+        s.commit()
+    assert s.facts().count() == s.facts().distinct().count() == 4 and len(s._deltas()) == 2
+    tree = s.explain("select ?x ?y where { ?x <p> ?y }", physical=True)
+    assert "Aggregate" not in tree.split("Join")[0] and "union" in tree.lower()
+    assert "groupBy" not in tree and s._counts(s.id_of(iri("p")))[0] == 4
+
+
+def test_dictionary_parts(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), term_parts=5)
+    s.add(spark.createDataFrame([((0, f"é{k}", None), (0, "p", None), (1, f"v {k}", None)) for k in range(60)], "s struct<type:int,lex:string,sub:string>, p struct<type:int,lex:string,sub:string>, o struct<type:int,lex:string,sub:string>"))
+    from arcwell.store import _part
+
+    found = s.terms().collect()
+    assert len(found) == 121 and all(r["h"] == _part(r["lex"], 5) for r in found)
+    wanted = [Term(0, "é7", None), Term(1, "v 8", None), Term(1, "none", None), Term(0, "v 8", None)]
+    ids = s.lookup(wanted)
+    assert [ids[w] is None for w in wanted] == [False, False, True, True]
+
+
+def test_optional_in_all_modes(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.insert("<a> <p> <x> , <y> . <b> <p> <x> . <c> <p> <z> . <x> <q> <k1> , <k2> , <k3> . <y> <q> <k1>")
+    s.commit()
+    facts = [("a", "x"), ("a", "y"), ("b", "x"), ("c", "z")]
+    right = {"x": ["k1", "k2", "k3"], "y": ["k1"]}
+    left = [(v, w, k) for v, w in facts for k in right.get(w, [None])]
+    ask = lambda mode, names: got(s.query(f"select {mode} {names} where {{ ?v <p> ?w . optional {{ ?w <q> ?k }} }}"))
+    assert ask("", "?v ?w ?k") == Counter(left)
+    assert ask("count", "?v") == Counter((v, n) for v, n in Counter(v for v, _, _ in left).items())
+    assert ask("duplicates", "?v") == Counter((v, n) for v, n in Counter(v for v, _, _ in left).items() if n > 1)
+    assert ask("distinct", "?v ?k") == Counter(set((v, k) for v, _, k in left))
+    assert got(s.query("select count ?v ?k where { ?v <p> <z> . optional { ?u <q> ?k } }")) == Counter({("c", "k1", 2): 1, ("c", "k2", 1): 1, ("c", "k3", 1): 1})
+    assert got(s.query("select count ?v ?k where { ?v <p> <z> . optional { ?u <none> ?k } }")) == Counter({("c", None, 1): 1})
+
+
+def test_reaches_begins_at_the_bound_end(spark, tmp_path):
+    """A long chain beside a short way: only the bound end's part is searched."""
+    s = Store(spark, str(tmp_path / "s"))
+    s.insert(" . ".join([f"<n{k}> <next> <n{k + 1}>" for k in range(40)] + ["<a> <next> <b>", "<b> <next> <c>", "<c> <next> <a>", "<d> <next> <b>", "<d> <is> <start>"]))
+    s.commit()
+    s.options.most_steps = 4  # a closure of the chain would need 40
+    assert got(s.query("select ?y where { <a> reaches ?y via <next> }")) == Counter({("a",): 1, ("b",): 1, ("c",): 1})
+    assert got(s.query("select ?y where { ?y reaches <c> via <next> }")) == Counter({("a",): 1, ("b",): 1, ("c",): 1, ("d",): 1})
+    assert got(s.query("select ?y where { ?x <is> <start> . ?x reaches ?y via <next> }")) == Counter({("a",): 1, ("b",): 1, ("c",): 1})
+    with pytest.raises(RuntimeError):
+        s.query("select ?x ?y where { ?x reaches ?y via <next> }")
+
+
+def test_lines_of_ntriples_fail_alone(spark, tmp_path):
+    from arcwell.sources.turtle import read_ntriples
+
+    (tmp_path / "a.nt").write_text('<a> <p> <b>\n<c> <p> "good" .\n# a comment\n\n<d> <p> "open .\n<e> <p> <f> .\n')
+    rows = read_ntriples(spark, [str(tmp_path / "a.nt")]).collect()
+    assert {r["s"]["lex"] for r in rows if r["s"]} >= {"c", "e"} and sum(r["error"] is not None for r in rows) == 2
+    assert all("a.nt" in r["error"] for r in rows if r["error"])
+
+
+def test_locks_are_taken_together(spark, tmp_path):
+    from arcwell.txn import Box, BulkOperation, Conflict, LockTable
+
+    locks = LockTable()
+    locks.acquire("a", Box(s=(5, 5)))
+    with pytest.raises(Conflict):
+        locks.acquire("b", [Box(s=(1, 1)), Box(s=(5, 9))])
+    locks.acquire("c", Box(s=(1, 1)))  # b holds nothing
+    s = Store(spark, str(tmp_path / "s"))
+    one, two = BulkOperation(s, locks), BulkOperation(s, locks)
+    one.insert_turtle("_:x <p> <a> .")
+    two.insert_turtle("_:x <p> <b> .")
+    one.commit()
+    two.commit()
+    assert s.query("select distinct ?x where { ?x <p> ?y }").count() == 2
