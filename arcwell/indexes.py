@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwell.plans.parser import Group, Pattern, Query, Var
-from arcwell.terms import Term
+from arcwell.terms import Term, hash_part
 
-#: A step against the direction of a predicate is p + REVERSE; one over any predicate is ANY.
-REVERSE = 100_000_000
-ANY = 50_000_000
+#: A step over any predicate.  A step against the direction of a predicate is its complement ~p: negative, as no id is.
+ANY = -(1 << 63)
+#: Directories of a level's lists; a list is read from one of them.
+PARTS = 64
 
 Path = tuple[int, ...]
 
@@ -43,7 +44,7 @@ class PathIndex:
         spark = facts.sparkSession
         steps = facts.select("s", "p", "o")
         if reverse:
-            steps = steps.union(facts.select(F.col("o").alias("s"), (F.col("p") + REVERSE).alias("p"), F.col("s").alias("o")))
+            steps = steps.union(facts.select(F.col("o").alias("s"), F.bitwise_not("p").alias("p"), F.col("s").alias("o")))
         if any_predicate:
             steps = steps.union(facts.select("s", F.lit(ANY).cast("long").alias("p"), "o").distinct())
         kept: dict[Path, int] = {}
@@ -55,9 +56,11 @@ class PathIndex:
             else:
                 last = F.element_at("path", -1)
                 before = spark.read.parquet(f"{path}/L{length - 1}")
-                bounce = F.abs(last - F.col("p")) == REVERSE
+                bounce = last == F.bitwise_not("p")
                 found = before.join(steps, F.col("v") == F.col("s")).where(~bounce).select(F.concat("path", F.array("p")).alias("path"), F.col("o").alias("v"))
-            found.distinct().write.mode("overwrite").parquet(at)
+            name = F.array_join(F.transform("path", lambda p: p.cast("string")), ",")
+            named = found.distinct().withColumn("name", name).withColumn("part", F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int"))
+            named.hint("rebalance", "part").sortWithinPartitions("part", "name", "v").write.mode("overwrite").partitionBy("part").parquet(at)
             rows = spark.read.parquet(at).groupBy("path").count().limit(most_paths + 1).collect()
             if len(rows) > most_paths:
                 raise ValueError(f"more than {most_paths} paths of length {length}")
@@ -71,8 +74,9 @@ class PathIndex:
         return cls(spark, path, kept, getattr(facts, "store_state", None))
 
     def vertices(self, p: Path) -> DataFrame:
-        wanted = F.array(*[F.lit(x).cast("long") for x in p])
-        return self.spark.read.parquet(f"{self.path}/L{len(p)}").where(F.col("path") == wanted).select("v")
+        """A path's list: one directory is read, and of its row groups those that may hold the path."""
+        name = ",".join(map(str, p))
+        return self.spark.read.parquet(f"{self.path}/L{len(p)}").where((F.col("part") == hash_part(name, PARTS)) & (F.col("name") == name)).select("v")
 
     def updated(self, facts: DataFrame, path: str, **how) -> PathIndex:
         """The index of changed facts; built anew, which is exact for deletions too."""
@@ -84,13 +88,13 @@ class PathIndex:
         steps: dict[str, list[tuple[str, int]]] = {}
         for s, p, o in edges:
             steps.setdefault(o, []).append((s, p))
-            steps.setdefault(s, []).append((o, p + REVERSE))
+            steps.setdefault(s, []).append((o, ~p))
         out = {}
         for node in steps:
             paths: set[Path] = set()
             front: list[tuple[str, Path]] = [(node, ())]
             for _ in range(longest):
-                front = [(n, (p, *path)) for at, path in front for n, p in steps.get(at, ()) if not path or abs(path[0] - p) != REVERSE]
+                front = [(n, (p, *path)) for at, path in front for n, p in steps.get(at, ()) if not path or path[0] != ~p]
                 paths |= {path for _, path in front}
             known = [p for p in paths if p in self.counts]
             out[node] = [p for p in known if not any(q != p and q[-len(p) :] == p for q in known)]

@@ -10,8 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Marks an outgoing predicate in a characteristic set.
-OUT = 100_000_000
+
+def outgoing(p: int) -> int:
+    """An outgoing predicate in a characteristic set that has incoming ones too: the complement, negative as no id is."""
+    return ~p
 
 
 class Statistics:
@@ -41,8 +43,8 @@ class Statistics:
 
 
 def characteristic_sets(facts: DataFrame, incoming: bool = True) -> DataFrame:
-    """(predicates, count): nodes by the set of predicates at them, outgoing ones as p + OUT where incoming ones count too."""
-    out = facts.select(F.col("s").alias("node"), (F.col("p") + OUT if incoming else F.col("p")).alias("p"))
+    """(predicates, count): nodes by the set of predicates at them, outgoing ones as ~p where incoming ones count too."""
+    out = facts.select(F.col("s").alias("node"), (F.bitwise_not("p") if incoming else F.col("p")).alias("p"))
     both = out.union(facts.select(F.col("o").alias("node"), "p")) if incoming else out
     sets = both.distinct().groupBy("node").agg(F.array_sort(F.collect_list("p")).alias("predicates"))
     return sets.groupBy("predicates").agg(F.count("*").alias("count"))

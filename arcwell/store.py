@@ -23,7 +23,6 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +31,13 @@ from arcwell.plans.compile import Options, plan
 from arcwell.plans.optimizer import Size
 from arcwell.plans.parser import Pattern, Var, constants, parse
 from arcwell.sources import turtle
-from arcwell.terms import TERM, Term, rendered, term
+from arcwell.terms import TERM, Term, hash_part, rendered, term
 
 TERMS = "id long, type int, lex string, sub string, h int"
 FACTS = "s long, p long, o long, created long"
 STATS = "p long, n long, subjects long, objects long"
 
 
-def _part(lex: str, n: int) -> int:
-    """The part of the dictionary that holds a text, as pmod(xxhash64(lex), n)."""
-    h = xxhash.xxh64_intdigest(lex.encode(), 42)
-    return (h - (1 << 64) if h >> 63 else h) % n
-
-
 def _key(df: DataFrame, slot: str) -> list[Column]:
     return [F.col(f"{slot}.type").alias("type"), F.col(f"{slot}.lex").alias("lex"), F.col(f"{slot}.sub").alias("sub")]
 
@@ -149,7 +142,7 @@ class Store:
         todo = [t for t in dict.fromkeys(terms) if t not in self._ids]
         if todo:
             n = self._meta()[1]
-            words = self.terms().where(F.col("h").isin(*{_part(t.lex, n) for t in todo}))
+            words = self.terms().where(F.col("h").isin(*{hash_part(t.lex, n) for t in todo}))
             words = words.where(F.col("lex").isin(*{t.lex for t in todo})) if len(todo) < 1000 else words.join(self.spark.createDataFrame([(t.lex,) for t in todo], "lex string").distinct(), "lex", "left_semi")
             by = {Term(r["type"], r["lex"], r["sub"]): r["id"] for r in words.select("type", "lex", "sub", "id").collect()}
             self._ids |= {t: by.get(t) for t in todo}
@@ -277,7 +270,7 @@ class Store:
             first = 0 if top is None else top + 1
             old = self.terms()
             if known is not None and len(known) < 1000:
-                old = old.where(F.col("h").isin(*{_part(x, parts) for x in known}) & F.col("lex").isin(*set(known))) if known else old.limit(0)
+                old = old.where(F.col("h").isin(*{hash_part(x, parts) for x in known}) & F.col("lex").isin(*set(known))) if known else old.limit(0)
             same = (words["h"] == old["h"]) & (words["type"] == old["type"]) & (words["lex"] == old["lex"]) & words["sub"].eqNullSafe(old["sub"])
             have = old.join(words, same, "left_semi").select("id", "type", "lex", "sub")
             words = words.join(old, same, "left_anti")

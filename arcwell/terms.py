@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +101,9 @@ def rendered(t: Column) -> Column:
 
 def is_blank(t: Column) -> Column:
     return (t["type"] == URI) & t["lex"].startswith("_:")
+
+
+def hash_part(text: str, n: int) -> int:
+    """pmod(xxhash64(text), n) as Spark has it."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % n

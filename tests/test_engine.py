@@ -289,7 +289,7 @@ def test_statistics(store):
     sets = stats.characteristic_sets(facts)
     nodes = {x for r in rows for x in (r[0], r[2])}
     assert sum(r["count"] for r in sets.collect()) == len(nodes)
-    assert stats.superset_count(sets, [knows]) == 3 and stats.superset_count(sets, [knows, knows + stats.OUT]) == 3
+    assert stats.superset_count(sets, [knows]) == 3 and stats.superset_count(sets, [knows, stats.outgoing(knows)]) == 3
     label, age = store.id_of(iri("label")), store.id_of(iri("age"))
     pairs = {(r["p1"], r["p2"]): r["count"] for r in stats.pair_stats(facts, False).collect()}
     assert pairs[min(label, age), max(label, age)] == 3
@@ -349,10 +349,10 @@ def test_scans_have_nothing_to_drop(spark, tmp_path):
 def test_dictionary_parts(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"), term_parts=5)
     s.add(spark.createDataFrame([((0, f"é{k}", None), (0, "p", None), (1, f"v {k}", None)) for k in range(60)], "s struct<type:int,lex:string,sub:string>, p struct<type:int,lex:string,sub:string>, o struct<type:int,lex:string,sub:string>"))
-    from arcwell.store import _part
+    from arcwell.terms import hash_part
 
     found = s.terms().collect()
-    assert len(found) == 121 and all(r["h"] == _part(r["lex"], 5) for r in found)
+    assert len(found) == 121 and all(r["h"] == hash_part(r["lex"], 5) for r in found)
     wanted = [Term(0, "é7", None), Term(1, "v 8", None), Term(1, "none", None), Term(0, "v 8", None)]
     ids = s.lookup(wanted)
     assert [ids[w] is None for w in wanted] == [False, False, True, True]
@@ -411,3 +411,22 @@ def test_locks_are_taken_together(spark, tmp_path):
     one.commit()
     two.commit()
     assert s.query("select distinct ?x where { ?x <p> ?y }").count() == 2
+
+
+def test_paths_in_both_directions_and_over_any_predicate(spark, tmp_path):
+    """Ids as large as a store makes them: no step is taken for another."""
+    facts = [(5, 1 << 33, 6), (6, (1 << 33) + 100_000_000, 7), (8, 1 << 33, 6), (7, 50_000_000, 9)]
+    index = PathIndex.build(spark.createDataFrame(facts, "s long, p long, o long"), str(tmp_path / "i"), max_length=2, most_ratio=2.0, reverse=True, any_predicate=True)
+    from arcwell.indexes import ANY
+
+    steps = {(s, p, o) for s, p, o in facts} | {(o, ~p, s) for s, p, o in facts} | {(s, ANY, o) for s, _, o in facts}
+    want = {}
+    for s, p, o in steps:
+        want.setdefault((p,), set()).add(o)
+        for s2, p2, o2 in steps:
+            if s2 == o and p2 != ~p:
+                want.setdefault((p, p2), set()).add(o2)
+    assert index.counts == {p: len(v) for p, v in want.items()}
+    for path, nodes in want.items():
+        assert sorted(r[0] for r in index.vertices(path).collect()) == sorted(nodes)
+    assert "PartitionFilters: [isnotnull(part" in index.vertices(next(iter(want)))._jdf.queryExecution().toString()
