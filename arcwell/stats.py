@@ -101,20 +101,28 @@ def schema_classes(facts: DataFrame, most: int = 10_000) -> list[tuple[tuple[int
     return sorted(classes.items())
 
 
-def class_edges(facts: DataFrame, classes: Sequence[tuple[tuple[int, ...], int]]) -> DataFrame:
+def class_edges(facts: DataFrame, classes: Sequence[tuple[tuple[int, ...], int]], most: int = 10_000) -> DataFrame:
     """(source, p, target, count): triples between subjects of the classes, a class by its place in the list."""
     nodes = facts.select("s", "p").distinct().groupBy("s").agg(F.array_sort(F.collect_list("p")).alias("set"))
-    place = F.lit(None).cast("int")
-    for k in reversed(range(len(classes))):
-        wanted = F.array(*[F.lit(p).cast("long") for p in classes[k][0]])
-        loose = F.when(F.size("set") > 3, 1).otherwise(0)
-        place = F.when(F.size(F.array_except("set", wanted)) <= loose, k).otherwise(place)
-    member = nodes.select(F.col("s").alias("node"), place.alias("class"))
+
+    def place(own: set[int]) -> int | None:
+        return next((k for k, (c, _) in enumerate(classes) if len(own - set(c)) <= (1 if len(own) > 3 else 0)), None)
+
+    # the different sets are a report as the classes are
+    sets = nodes.select("set").distinct().limit(most + 1).collect()
+    if len(sets) > most:
+        raise ValueError(f"more than {most} sets of predicates")
+    named = facts.sparkSession.createDataFrame([(r["set"], place(set(r["set"]))) for r in sets], "set array<long>, class int")
+    member = nodes.join(named, "set").select(F.col("s").alias("node"), "class")
     a, b = member.toDF("s", "source"), member.toDF("o", "target")
     return facts.join(a, "s").join(b, "o").groupBy("source", "p", "target").agg(F.count("*").alias("count"))
 
 
-def dot(edges: DataFrame, names: dict[int, str] | None = None) -> str:
-    """A class graph in the dot language."""
-    lines = [f'  c{r["source"]} -> c{r["target"]} [label="{(names or {}).get(r["p"], r["p"])} ({r["count"]})"];' for r in edges.orderBy("source", "p", "target").collect()]
+def dot(edges: DataFrame, names: dict[int, str] | None = None, most: int = 100_000) -> str:
+    """A class graph of at most `most` edges in the dot language."""
+    rows = edges.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} edges between classes")
+    rows.sort(key=lambda r: tuple(-1 if x is None else x for x in (r["source"], r["p"], r["target"])))
+    lines = [f'  c{r["source"]} -> c{r["target"]} [label="{(names or {}).get(r["p"], r["p"])} ({r["count"]})"];' for r in rows]
     return "\n".join(["digraph schema {", *lines, "}"])

@@ -382,8 +382,12 @@ class Store:
 
         self._replace(write, self._now() - 1)
 
-    def dump(self, path: str) -> None:
-        turtle.write_ntriples(self.triples(), path)
+    def dump(self, path: str, abbreviated: bool = False) -> None:
+        """All triples as N-Triples, or as Turtle with `;` and `,`."""
+        if abbreviated:
+            turtle.abbreviated(self.triples()).write.mode("overwrite").text(path)
+        else:
+            turtle.write_ntriples(self.triples(), path)
 
     def export_relational(self, path: str) -> None:
         """facts, strings, and the facts by predicate, for other engines."""

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from arcwell.plans.parser import Query, Var, parse
 
@@ -140,3 +141,46 @@ def to_sql(text: str, id_of: Callable) -> str:
         groups = ", ".join(place[v] for v in query.output())
         return f"SELECT {columns}, count(*) AS count {body} GROUP BY {groups}" + (" HAVING count(*) > 1" if query.mode == "duplicates" else "")
     return f"SELECT {'DISTINCT ' if query.mode in ('distinct', 'reduced') else ''}{columns} {body}"
+
+
+def analyzed(store, text: str) -> DataFrame:
+    """(step, expected, observed) of each pattern of the outermost group and of each join in the planned order; one count a step."""
+    from arcwell.operators import solutions as op
+    from arcwell.plans import optimizer
+
+    said = lambda p: " ".join(f"?{x.name}" if isinstance(x, Var) else x.lex for x in (p.s, p.p, p.o))
+    steps, rows, size = [], None, None
+    for p in optimizer.order(list(parse(text).where.patterns), store.size):
+        found, own = store.scan(p), store.size(p)
+        steps.append((said(p), own.rows, 0 if found is None else found.count()))
+        if found is None:
+            break
+        rows, size = (found, own) if rows is None else (op.join(rows, found), size.joined(own))
+        if rows is not found:
+            steps.append(("join " + said(p), size.rows, rows.count()))
+    return store.spark.createDataFrame(steps, "step string, expected double, observed long")
+
+
+def run_updates(store, triples: DataFrame, config: UpdateConfig) -> list[tuple[int, float]]:
+    """Commits term triples as an initial load and chunks, in the configuration's proportions, and runs its queries after each; (commit, seconds) of all.
+
+    A triple's commit follows from its hash, so sizes are those of the configuration up
+    to chance and nothing is sorted or numbered.
+    """
+    share = config.initial / max(1, config.initial + config.chunk * config.chunks)
+    place = F.pmod(F.xxhash64(F.struct("s", "p", "o")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    commit = F.when(place < share, 0).otherwise(1 + F.floor((place - share) / max(1 - share, 1e-9) * config.chunks)).cast("int")
+    out = []
+    for k in range(1 + config.chunks):
+        began = time.perf_counter()
+        store.add(triples.where(commit == k))
+        out.append((k, time.perf_counter() - began))
+        for text in config.queries:
+            store.query(text).write.format("noop").mode("overwrite").save()
+    return out
+
+
+def missing_and_extra(store, triples: DataFrame) -> tuple[int, int]:
+    """How many triples a store lacks of what was committed, and how many it has besides."""
+    want, have = triples.select("s", "p", "o").distinct(), store.triples()
+    return want.exceptAll(have).count(), have.exceptAll(want).count()
