@@ -139,9 +139,12 @@ class GraphIndex:
         self.spark, self.shapes, self.of = spark, shapes, of
 
     @classmethod
-    def build(cls, facts: DataFrame, path: str, max_edges: int = 2, least: int = 2, most_edges_of_predicate: int | None = None, most_embeddings: int = 200_000_000, most_shapes: int = 1000) -> GraphIndex:
+    def build(cls, facts: DataFrame, path: str, max_edges: int = 2, least: int = 2, most_edges_of_predicate: int | None = None, most_embeddings: int = 200_000_000, most_shapes: int = 1000, most_predicates: int = 10_000) -> GraphIndex:
         spark = facts.sparkSession
-        sizes = {r["p"]: r["count"] for r in facts.groupBy("p").count().collect()}
+        rows = facts.groupBy("p").count().limit(most_predicates + 1).collect()
+        if len(rows) > most_predicates:
+            raise ValueError(f"more than {most_predicates} predicates")
+        sizes = {r["p"]: r["count"] for r in rows}
         predicates = sorted(p for p, n in sizes.items() if n >= least and (most_edges_of_predicate is None or n < most_edges_of_predicate))
         shapes: dict[tuple[Edge, ...], Shape] = {}
         front: list[Shape] = []

@@ -20,7 +20,7 @@ from arcwell.plans.compile import Options, query
 from arcwell.sources.relational import RelationalGraph
 from arcwell.store import Store
 from arcwell.terms import Term, iri, literal
-from arcwell.txn import BulkOperation, Conflict, LockTable
+from arcwell.txn import BulkOperation, Conflict, LockTable, cover
 from arcwell.workload import UpdateConfig, analyzed, missing_and_extra, run_updates
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -526,6 +526,51 @@ def turtle_abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.triples().select(F.col("s.lex").alias("s"), F.col("p.lex").alias("p"), F.col("o.lex").alias("o"))
 
 
+@_store("term_lookup", "SELECT 'nation/' || n_nationkey AS name, 'nation/' || n_nationkey AS back FROM nation UNION ALL SELECT 'nation/none', NULL")
+def term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names to ids by one pass, and ids to names."""
+    store = build(spark, sf_dir, ["n_region"])
+    names = [r["lex"] for r in store.terms().where(F.col("lex").startswith("nation/")).select("lex").collect()] + ["nation/none"]
+    ids = store.lookup([iri(n) for n in names])
+    rows = spark.createDataFrame([(n, ids[iri(n)]) for n in names], "name string, back long")
+    return store.decode(rows, ["back"]).select("name", F.col("back.lex").alias("back"))
+
+
+@_store("relational_export", "SELECT '<customer/' || c_custkey || '>' AS s, '\"' || c_mktsegment || '\"' AS o FROM customer")
+def relational_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One predicate's table of an export, its ids resolved by the exported strings."""
+    store, at = build(spark, sf_dir, ["c_mktsegment", "c_nation"]), folder(spark)
+    store.export_relational(at)
+    facts, strings = spark.read.parquet(at + "/properties"), spark.read.parquet(at + "/strings")
+    rows = facts.where(F.col("p") == store.id_of(iri("c_mktsegment")))
+    return rows.join(strings.toDF("subject", "s"), "subject").join(strings.toDF("object", "o"), "object").select("s", "o")
+
+
+@_store("stream_insert", "SELECT 'nation/' || c_nationkey AS n, count(*) AS \"count\" FROM customer GROUP BY 1")
+def stream_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of rows, committed batch by batch."""
+    from arcwell.streaming.ingest import insert_stream
+
+    kind = spark.read.parquet(f"{sf_dir}/customer.parquet").schema
+    at = folder(spark)
+    store = Store(spark, at + "/store")
+    node = lambda prefix, c: F.struct(F.lit(iri("x").type).alias("type"), F.concat(F.lit(prefix), c.cast("string")).alias("lex"), F.lit(None).cast("string").alias("sub"))
+    triples = lambda rows: rows.select(node("customer/", F.col("c_custkey")).alias("s"), node("c_nation", F.lit("")).alias("p"), node("nation/", F.col("c_nationkey")).alias("o"))
+    insert_stream(store, spark.readStream.schema(kind).parquet(f"{sf_dir}/custome[r].parquet"), triples, at + "/checkpoint").awaitTermination()
+    return store.query("select count ?n where { ?c <c_nation> ?n }")
+
+
+@_store("lock_cover", "SELECT count(*) AS n, count(*) AS inside, true AS few FROM customer")
+def lock_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes over the ids of a predicate hold all its triples."""
+    facts = build(spark, sf_dir, ["c_nation"]).facts()
+    boxes = cover(facts, 8)
+    held = F.lit(False)
+    for b in boxes:
+        held = held | (F.col("s").between(*b.s) & F.col("p").between(*b.p) & F.col("o").between(*b.o))
+    return facts.agg(F.count("*").alias("n"), F.count_if(held).alias("inside")).withColumn("few", F.lit(1 < len(boxes) <= 8))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(RelationalGraph(spark, sf_dir), CHAIN)
 

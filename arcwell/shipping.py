@@ -17,9 +17,12 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
 def ship(spark: SparkSession) -> None:
     """Sends this package's modules to the Python workers of an application, once, and bounds the batches that these get."""
     context = spark.sparkContext
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
-        if not context.getConf().contains(key) and context.applicationId not in _done:
-            spark.conf.set(key, str(value))
+    session = spark._jsparkSession.sessionUUID()
+    if session not in _done:
+        _done.add(session)
+        for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+            if not context.getConf().contains(key):
+                spark.conf.set(key, str(value))
     if context.applicationId in _done:
         return
     top = Path(__file__).resolve().parent
