@@ -1,12 +1,13 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 The corpus arrives in batches of ascending doc_id.  A run is a table of
-(hash, owner) written in hash order.  Each batch reduces its lines to the smallest
-document of each hash, merge-joins these with the runs so far, and keeps what no
+(hash, owner) in buckets of the hash, each one file in hash order.  Each batch
+reduces its lines to the smallest document of each hash, merge-joins these with
+the runs so far, which are neither shuffled nor sorted for it, and keeps what no
 run holds as a new run of level 0 (the anti join); hashes that a run holds belong
 to that run's owner, a smaller doc_id.  When a level has `fan_in` runs they are
-merged into one of the next level, so a batch reads a logarithmic number of runs
-and a hash is rewritten once a level.
+merged bucket by bucket into one of the next level, so a batch reads a logarithmic
+number of runs and a hash is rewritten once a level.
 
 What a batch finds repeated, inside it or in a run, goes with its owner into a
 table of repeated hashes.  In the end a document loses the lines whose hash is
@@ -19,12 +20,15 @@ sort-merge join whose hot partitions adaptive execution splits.
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwell.llm.common import drop_path, fresh_path, numbered, with_fields, without
@@ -55,39 +59,71 @@ def _hash_rows(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "h1", "h2"])
 
 
+@contextlib.contextmanager
+def _ordered_scans(spark: SparkSession) -> Iterator[None]:
+    """Inside, scans of buckets of one file each count as sorted; Spark checks the files and sorts where there are more."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LevelledRuns:
-    """Sorted runs of (h1, h2, owner) in the shared folder."""
+    """Sorted runs in the shared folder: tables of sorted buckets of (h1, h2), owner, and known, which is null in rows that the run itself owns."""
 
-    def __init__(self, spark, fan_in: int = 3):
+    def __init__(self, spark: SparkSession, fan_in: int = 3):
         self.spark, self.fan_in = spark, fan_in
+        # as many buckets as a shuffle has partitions: a batch that is reduced by hash meets them as it lies
+        self.buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
         self.levels: list[list[str]] = []
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(path)
-
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
-
-    def found(self) -> DataFrame | None:
-        """All runs; no hash stands in two of them."""
-        paths = self.paths()
-        return self._read(paths[0]) if len(paths) == 1 else self.spark.read.schema("h1 long, h2 long, owner long").parquet(*paths) if paths else None
-
-    def add(self, rows: DataFrame, level: int = 0) -> None:
-        path = fresh_path(self.spark, f"run{level}")
-        rows.select("h1", "h2", "owner").sortWithinPartitions("h1", "h2").write.parquet(path)
+        self._paths: dict[str, str] = {}
+
+    def _rows(self, table: str) -> DataFrame:
+        return self.spark.table(table).where(F.col("known").isNull()).select("h1", "h2", "owner")
+
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        drop_path(self.spark, self._paths.pop(table))
+
+    def tables(self) -> list[str]:
+        return [t for level in self.levels for t in level]
+
+    def met(self, rows: DataFrame) -> DataFrame:
+        """rows, which have each hash once, with known: the owner that a run has for it, by a merge join with each run."""
+        found = rows
+        for k, table in enumerate(self.tables()):
+            found = found.join(self._rows(table).withColumnRenamed("owner", f"__aw_owner{k}").hint("merge"), ["h1", "h2"], "left")
+        # no hash is owned by two runs
+        known = [F.col(f"__aw_owner{k}") for k in range(len(self.tables()))]
+        return found.select(*rows.columns, F.coalesce(*known, F.lit(None).cast("long")).alias("known"))
+
+    def add(self, rows: DataFrame, level: int = 0) -> DataFrame:
+        """rows (h1, h2, owner, known and further columns), each hash once, as a new run; the rows as written, to be read before anything else is added."""
+        path, table = fresh_path(self.spark, f"run{level}"), f"arcwell_run_{uuid.uuid4().hex}"
+        self._paths[table] = path
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).format("parquet").saveAsTable(table)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fan_in:
-            merged, self.levels[level] = self.levels[level], []
-            self.add(self.spark.read.schema("h1 long, h2 long, owner long").parquet(*merged).repartition("h1", "h2"), level + 1)
-            for p in merged:
-                drop_path(self.spark, p)
+        self.levels[level].append(table)
+        return self.spark.table(table)
+
+    def compact(self) -> None:
+        """Merges the runs of each full level into one of the next."""
+        for level in range(len(self.levels) + 1):
+            if level < len(self.levels) and len(self.levels[level]) >= self.fan_in:
+                merged, self.levels[level] = self.levels[level], []
+                # hashes differ: the aggregate only asks that equal ones lie together, which buckets do
+                rows = functools.reduce(DataFrame.unionByName, map(self._rows, merged)).groupBy("h1", "h2").agg(F.min("owner").alias("owner"))
+                self.add(rows.withColumn("known", F.lit(None).cast("long")), level + 1)
+                for table in merged:
+                    self._drop(table)
 
     def clear(self) -> None:
-        for p in self.paths():
-            drop_path(self.spark, p)
+        for table in list(self._paths):
+            self._drop(table)
         self.levels = []
 
 
@@ -106,20 +142,16 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fan_i
     each.withColumn("batch", batch).write.partitionBy("batch").parquet(at)
     lines = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(at)
     runs, again = LevelledRuns(spark, fan_in), fresh_path(spark, "repeated")
-    for batch in range(batches if edges else 0):
-        first = lines.where(F.col("batch") == batch).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-        old = runs.found()
-        if old is None:
-            first = first.withColumn("known", F.lit(None).cast("long"))
-        else:
-            first = first.join(old.withColumnRenamed("owner", "known"), ["h1", "h2"], "left")
-        path = fresh_path(spark, "batch")
-        first.write.parquet(path)
-        first = spark.read.schema("h1 long, h2 long, owner long, last long, known long").parquet(path)
-        first.where(F.col("known").isNotNull() | (F.col("last") > F.col("owner"))).select("h1", "h2", F.coalesce("known", "owner").alias("owner")).write.mode("append").parquet(again)
-        runs.add(first.where(F.col("known").isNull()))
-        drop_path(spark, path)
-    runs.clear()
+    try:
+        with _ordered_scans(spark):
+            for batch in range(batches if edges else 0):
+                first = lines.where(F.col("batch") == batch).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+                run = runs.add(runs.met(first))
+                run.where(F.col("known").isNotNull() | (F.col("last") > F.col("owner"))).select("h1", "h2", F.coalesce("known", "owner").alias("owner")).write.mode("append").parquet(again)
+                if batch < batches - 1:
+                    runs.compact()
+    finally:
+        runs.clear()
     if not edges:
         spark.createDataFrame([], "h1 long, h2 long, owner long").write.parquet(again)
     return lines.select("doc_id", "h1", "h2"), spark.read.schema("h1 long, h2 long, owner long").parquet(again).distinct()

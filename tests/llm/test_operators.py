@@ -9,6 +9,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from arcwell.llm import bpe, chat, graph, line_dedup, mpeg_audio, packing, quality, rules, sharding, simhash, substrings
 
@@ -803,3 +804,29 @@ def test_network_by_brute_force():
 
     assert all(loss(net.temperature) <= loss(t) + 1e-9 for t in np.exp(np.linspace(np.log(0.25), np.log(8), 80)))
     assert np.mean((net.probability(x) > 0.5) == (y == 1)) > 0.85
+
+
+def test_runs_are_merged_without_shuffle_or_sort(spark):
+    """A batch meets a run's buckets as they lie; compaction leaves each hash once, under its first owner."""
+
+    def batch(low, high):
+        ids = spark.range(low, high).repartition(3)
+        return ids.select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), (F.col("id") + low).alias("owner")).groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.max("owner").alias("last"))
+
+    runs = line_dedup.LevelledRuns(spark, 2)
+    try:
+        with line_dedup._ordered_scans(spark):
+            runs.add(runs.met(batch(0, 400)))
+            joined = runs.met(batch(300, 700))
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            run_side = plan[plan.index("SortMergeJoin") :].split("FileScan")[0].splitlines()
+            left = max(k for k, x in enumerate(run_side) if "Range" in x)
+            assert not any("Sort" in x or "Exchange" in x for x in run_side[left + 1 :])
+            written = runs.add(joined)
+            assert {r["h2"]: r["known"] for r in written.collect()} == {k: k if k < 400 else None for k in range(300, 700)}
+            runs.compact()
+            assert [len(level) for level in runs.levels] == [0, 1]
+            assert {r["h2"]: r["owner"] for r in runs._rows(runs.tables()[0]).collect()} == {k: k if k < 400 else k + 300 for k in range(700)}
+    finally:
+        runs.clear()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("arcwell_run_")]
