@@ -5,11 +5,12 @@ shard, and the highest score takes it.  A score depends on nothing but the key a
 its shard, so a further shard wins rows only for itself and moves no others; the
 share of a shard is its weight over the sum.  Keys are the stable record ids.
 
-All of it is DataFrame expressions.  Only ids, sizes and checksums are shuffled,
-never texts.  Slots are numbered in two steps: rows are counted by shard and one
-of `runs` sub-ranges of a hash, a running sum of those few counts gives each
-sub-range its first slot, and row numbers within a sub-range add to it.  So no
-task sorts a whole shard.
+All of it is DataFrame expressions.  Texts are read once and never shuffled: ids,
+sizes, checksums and shards are written to the shared folder and read from there
+to be counted and numbered.  Slots are numbered in two steps: rows are counted by
+shard and one of `runs` sub-ranges of a hash, a running sum of those few counts
+gives each sub-range its first slot, and row numbers within a sub-range add to it.
+So no task sorts a whole shard.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcwell.llm.common import kept
+
 
 def score(key: Column, shard: Column, weight: float | Column = 1.0) -> Column:
     """-weight / ln(u), u in (0, 1) from the upper 52 bits of a hash of key and shard."""
@@ -64,5 +67,6 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row; a null text has no bytes and the checksum of none."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = assign(rows, [1.0] * shards, [1.0]).withColumn("law", F.lit("key"))
+    # counted and numbered: texts are read for the first of these only
+    placed = kept(assign(rows, [1.0] * shards, [1.0]).withColumn("law", F.lit("key")), "placed")
     return slots(placed, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
