@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import DataFrame
@@ -105,6 +106,7 @@ class PathIndex:
 
 
 Edge = tuple[int, int, int]  # from place, to place, predicate
+LISTS = "v long, place int"
 
 
 def canonical(edges: Iterable[Edge]) -> tuple[tuple[Edge, ...], tuple[int, ...]]:
@@ -116,7 +118,7 @@ def canonical(edges: Iterable[Edge]) -> tuple[tuple[Edge, ...], tuple[int, ...]]
 
 @dataclass
 class Shape:
-    """A frequent subgraph: support, embeddings, and the file of its vertex lists."""
+    """A frequent subgraph: support, different vertices at each place, and the folder of these lists."""
 
     code: tuple[Edge, ...]
     support: int
@@ -125,14 +127,74 @@ class Shape:
     reuse: dict[int, tuple[str, int]]
 
 
+def _meeting(left: DataFrame, right: DataFrame, on: Sequence[str]) -> int:
+    """Rows of a join, from the numbers of rows of each key."""
+    a, b = left.groupBy(*on).agg(F.count("*").alias("__a")), right.groupBy(*on).agg(F.count("*").alias("__b"))
+    return a.join(b, list(on)).agg(F.coalesce(F.sum(F.col("__a").cast("decimal(38,0)") * F.col("__b")), F.lit(0))).first()[0]
+
+
+def occurring(facts: DataFrame, code: Sequence[Edge], most_embeddings: int) -> list[DataFrame] | None:
+    """For each place of a shape the different vertices that stand there in some embedding, column v.
+
+    Embeddings are listed only of the part of a shape in which each place is on a cycle
+    or between two; None if a join there has more than most_embeddings rows.  What hangs
+    on this part, and all of a shape without cycles, is reduced by semi-joins towards its
+    root and back, so each step has at most the rows of the triples of a predicate.
+    """
+    n = 1 + max(max(a, b) for a, b, _ in code)
+    between: dict[tuple[int, int], DataFrame] = {}
+    for a, b, p in code:
+        rows = facts.where(F.col("p") == p).select(F.col("s").alias(f"v{a}"), F.col("o").alias(f"v{b}"))
+        key = (min(a, b), max(a, b))
+        between[key] = between[key].join(rows, [f"v{k}" for k in key]) if key in between else rows
+    near: dict[int, set[int]] = {k: {x for e in between if k in e for x in e if x != k} for k in range(n)}
+
+    def edge(a: int, b: int) -> DataFrame:
+        return between[min(a, b), max(a, b)]
+
+    def within(rows: DataFrame, place: int, vertices: DataFrame | None) -> DataFrame:
+        return rows if vertices is None else rows.join(vertices, f"v{place}", "left_semi")
+
+    # leaves go first; each leaves its parent the vertices that have a partner
+    up: dict[int, DataFrame | None] = dict.fromkeys(range(n))
+    left, hung = {k: set(v) for k, v in near.items()}, []
+    while (leaf := next((k for k, v in left.items() if len(v) == 1), None)) is not None:
+        (parent,) = left[leaf]
+        partners = within(edge(leaf, parent), leaf, up[leaf]).select(f"v{parent}").distinct()
+        up[parent] = partners if up[parent] is None else up[parent].join(partners, f"v{parent}", "left_semi")
+        hung.append((leaf, parent))
+        left[parent].discard(leaf)
+        del left[leaf]
+    full: dict[int, DataFrame] = {}
+    if len(left) == 1:
+        (root,) = left
+        full[root] = up[root]
+    else:
+        todo = {e: within(within(rows, e[0], up[e[0]]), e[1], up[e[1]]) for e, rows in between.items() if e[0] in left and e[1] in left}
+        first = next(iter(todo))
+        core, have = todo.pop(first), set(first)
+        while todo:
+            # an edge that closes a cycle before one that opens
+            e = max(todo, key=lambda e: len(have & set(e)))
+            on = [f"v{k}" for k in e if k in have]
+            if len(on) == 1 and _meeting(core, todo[e], on) > most_embeddings:
+                return None
+            core, have = core.join(todo.pop(e), on), have | set(e)
+        full = {k: core.select(f"v{k}").distinct() for k in left}
+    for leaf, parent in reversed(hung):
+        full[leaf] = within(within(edge(leaf, parent), parent, full[parent]), leaf, up[leaf]).select(f"v{leaf}").distinct()
+    return [full[k].toDF("v") for k in range(n)]
+
+
 class GraphIndex:
     """Vertex lists of frequent subgraphs of up to max_edges edges.
 
-    Shapes grow edge by edge from frequent ones, each by one join of its embeddings
-    with the triples of a predicate, and are named by their canonical code, so each is
-    grown once.  Support is the least number of different vertices at a place; the
-    threshold rises with size, least * edges.  A place whose list is more than 0.7
-    of its parent's uses the parent's list.
+    Shapes grow edge by edge from frequent ones and are named by their canonical code,
+    so each is grown once.  Only the different vertices at each place are found and
+    kept (`occurring`), as embeddings can be as many as the square of the triples.
+    Support is the least number of different vertices at a place; the threshold rises
+    with size, least * edges.  A place whose list is more than 0.7 of its parent's
+    uses the parent's list.
     """
 
     def __init__(self, spark, shapes: dict[tuple[Edge, ...], Shape], of: tuple | None = None):
@@ -149,13 +211,16 @@ class GraphIndex:
         shapes: dict[tuple[Edge, ...], Shape] = {}
         front: list[Shape] = []
 
-        def keep(code, embedded: DataFrame, parent: Shape | None, old: dict[int, int]) -> None:
+        def keep(code, parent: Shape | None, old: dict[int, int]) -> None:
+            lists = occurring(facts, code, most_embeddings)
+            if lists is None:
+                return
             at = f"{path}/shape{len(shapes)}"
-            n = 1 + max(max(a, b) for a, b, _ in code)
-            embedded.select(*[f"v{k}" for k in range(n)]).write.mode("overwrite").parquet(at)
-            rows = spark.read.parquet(at)
-            total, *counts = rows.agg(F.count("*"), *[F.count_distinct(f"v{k}") for k in range(n)]).first()
-            if min(counts) < least * len(code) or total > most_embeddings:
+            placed = reduce(DataFrame.union, [vs.select("v", F.lit(k).alias("place")) for k, vs in enumerate(lists)])
+            placed.write.mode("overwrite").partitionBy("place").parquet(at)
+            found = {r["place"]: r["count"] for r in spark.read.schema(LISTS).parquet(at).groupBy("place").count().collect()}
+            counts = [found.get(k, 0) for k in range(len(lists))]
+            if min(counts) < least * len(code):
                 return
             reuse = {}
             for k, from_parent in old.items():
@@ -165,8 +230,7 @@ class GraphIndex:
             front.append(shapes[code])
 
         for p in predicates:
-            edge = facts.where(F.col("p") == p)
-            keep(((0, 1, p),), edge.select(F.col("s").alias("v0"), F.col("o").alias("v1")), None, {})
+            keep(((0, 1, p),), None, {})
         for _ in range(max_edges - 1):
             grown, front[:] = list(front), []
             tried: set = set()
@@ -182,16 +246,12 @@ class GraphIndex:
                         tried.add(code)
                         if len(shapes) >= most_shapes:
                             raise ValueError(f"more than {most_shapes} frequent shapes")
-                        rows = spark.read.parquet(shape.path)
-                        edge = facts.where(F.col("p") == p).select(F.col("s").alias(f"v{a}"), F.col("o").alias(f"v{b}"))
-                        joined = rows.join(edge, [f"v{k}" for k in (a, b) if k < n])
-                        named = joined.select(*[F.col(f"v{k}").alias(f"v{perm[k]}") for k in range(len(perm))])
-                        keep(code, named, shape, {perm[k]: k for k in range(n)})
+                        keep(code, shape, {perm[k]: k for k in range(n)})
         return cls(spark, shapes, getattr(facts, "store_state", None))
 
     def vertices(self, shape: Shape, place: int) -> DataFrame:
         path, k = shape.reuse.get(place, (shape.path, place))
-        return self.spark.read.parquet(path).select(F.col(f"v{k}").alias("v")).distinct()
+        return self.spark.read.schema(LISTS).parquet(path).where(F.col("place") == k).select("v")
 
     def matches(self, shape: Shape, edges: Sequence[tuple[str, int, str]]) -> Iterable[dict[int, str]]:
         """Places to query nodes such that each edge of the shape is one of the query."""

@@ -430,3 +430,25 @@ def test_paths_in_both_directions_and_over_any_predicate(spark, tmp_path):
     for path, nodes in want.items():
         assert sorted(r[0] for r in index.vertices(path).collect()) == sorted(nodes)
     assert "PartitionFilters: [isnotnull(part" in index.vertices(next(iter(want)))._jdf.queryExecution().toString()
+
+
+def test_shapes_list_vertices_not_embeddings(spark, tmp_path):
+    """Many subjects of few objects: two of them that share one are as many pairs as the square; lists and supports stay exact."""
+    import random
+
+    from arcwell.indexes import occurring
+
+    hub = spark.range(300_000).selectExpr("id + 100 as s", "1L as p", "id % 2 as o").union(spark.sql("select 0L, 2L, 7L union all select 1L, 2L, 8L"))
+    index = GraphIndex.build(hub, str(tmp_path / "hub"), max_edges=2, least=1, most_embeddings=1000)
+    pair = next(s for s in index.shapes.values() if s.code == canonical([(0, 1, 1), (2, 1, 1)])[0])  # 4.5e10 embeddings
+    assert pair.support == 2 and sorted(pair.counts) == [2, 300_000, 300_000]
+    random.seed(5)
+    facts = sorted({(random.randrange(7), random.choice((100, 200)), random.randrange(7)) for _ in range(26)})
+    df = spark.createDataFrame(facts, "s long, p long, o long").cache()
+    for code in ([(0, 1, 100), (1, 2, 200), (3, 1, 100)], [(0, 1, 100), (1, 2, 200), (2, 3, 200), (4, 2, 100)], [(0, 1, 100), (1, 0, 200)], [(0, 1, 100), (1, 2, 100), (2, 0, 200)], [(0, 1, 100), (1, 2, 200), (0, 2, 100), (2, 3, 200), (4, 3, 100)]):
+        found = [{}]
+        for a, b, p in code:
+            found = [e | {a: s, b: o} for e in found for s, q, o in facts if q == p and e.get(a, s) == s and (e | {a: s}).get(b, o) == o]
+        want = [sorted({e[k] for e in found}) for k in range(1 + max(max(e[:2]) for e in code))]
+        assert [sorted(r["v"] for r in rows.collect()) for rows in occurring(df, code, 10**6)] == want
+    assert occurring(df, [(0, 1, 100), (1, 2, 100), (2, 0, 200)], 3) is None
