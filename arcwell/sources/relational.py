@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from arcwell.operators.solutions import match
 from arcwell.plans.optimizer import Size
 from arcwell.plans.parser import Pattern, Star, Var
-from arcwell.terms import CUSTOM, DECIMAL, DOUBLE, INTEGER, LANGUAGE, LITERAL, URI, XSD, Term, literal_column, term
+from arcwell.terms import CUSTOM, DECIMAL, DOUBLE, INTEGER, LANGUAGE, LITERAL, TERM, URI, XSD, Term, literal_column, term
 
 
 @dataclass(frozen=True)
@@ -278,7 +278,16 @@ class RelationalGraph:
 
     def triples(self, names: list[str] | None = None) -> DataFrame:
         """(s, p, o) as term columns of some or all predicates."""
-        pattern = Pattern(Var("s"), Var("p"), Var("o"))
-        branches = [self._branch(n, pattern) for n in names or list(VOCABULARY)]
-        whole = self._together(branches)
-        return self.decode(whole, [c for c, kind in whole.dtypes if kind == "bigint"])
+        tables: dict[str, list[str]] = {}
+        for n in names or list(VOCABULARY):
+            tables.setdefault(VOCABULARY[n].table, []).append(n)
+
+        def rows(table: str, names: list[str]) -> DataFrame:
+            """A table is read once, its rows named once."""
+            objects = {n: decoded(_object(VOCABULARY[n])) if VOCABULARY[n].kind == "to" else _object(VOCABULARY[n]) for n in names}
+            each = F.array(*[F.struct(term(F.lit(URI), F.lit(n)).alias("p"), o.alias("o")) for n, o in objects.items()])
+            out = self.table(table).select(decoded(self._subject(table)).alias("s"), F.explode(each).alias("x"))
+            # unions and arrays of expressions can lose the fields' names
+            return out.select(F.col("s").cast(TERM).alias("s"), F.col("x.p").cast(TERM).alias("p"), F.col("x.o").cast(TERM).alias("o")).where(F.col("o").isNotNull())
+
+        return reduce(DataFrame.union, [rows(t, ns) for t, ns in tables.items()])

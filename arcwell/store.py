@@ -1,10 +1,11 @@
 """A persistent store: dictionary-encoded triples on Parquet, with uncommitted and committed inserts.
 
     <path>/v<N>/terms      id, type, lex, sub by h, a hash of lex
+    <path>/v<N>/odd        terms whose id is not the hash of the term, if there are any
     <path>/v<N>/facts      s, o, created by p
     <path>/v<N>/stats      p, n, subjects, objects: counts by predicate for the join order
-    <path>/v<N>/meta       the clock when the version was written, and the number of values of h
-    <path>/v<N>/delta-<k>-<x>/ the same three of one committed insert, in use once its stats are complete
+    <path>/v<N>/meta       the clock when the version was written, the number of values of h, and `hashed`
+    <path>/v<N>/delta-<k>-<x>/ the same tables of one committed insert, in use once its stats are complete
     <path>/CURRENT         the number N, replaced last when a store is rewritten
 
 Facts are a set: an insert writes only those that the store lacks, so a scan reads
@@ -15,6 +16,9 @@ Predicates partition the facts, so a pattern with a constant one reads only its
 files; within them rows are sorted by subject for the row groups' statistics.  The
 dictionary is partitioned by a hash of the text and sorted by it, so a constant is
 looked up in one part of it, and all constants of a query at once.
+
+An id is a hash of the term, so that triples become ids row by row, without a join.
+Terms with equal hashes are found when they are written and get ids above all hashes.
 """
 
 from __future__ import annotations
@@ -36,6 +40,14 @@ from arcwell.terms import TERM, Term, hash_part, rendered, term
 TERMS = "id long, type int, lex string, sub string, h int"
 FACTS = "s long, p long, o long, created long"
 STATS = "p long, n long, subjects long, objects long"
+ODD = "id long, type int, lex string, sub string"
+#: Bits of a term's hash, most terms of equal hashes in one commit, and triples that one task writes.
+ID_BITS, MOST_ODD, TASK_ROWS = 62, 100_000, 4_000_000
+
+
+def hashed(kind: Column, lex: Column, sub: Column) -> Column:
+    """A term's id unless its hash is another term's too."""
+    return F.shiftrightunsigned(F.xxhash64(kind, lex, sub), 64 - ID_BITS)
 
 
 def _key(df: DataFrame, slot: str) -> list[Column]:
@@ -92,7 +104,7 @@ class Store:
 
     def _meta(self) -> tuple[int, int]:
         """The clock when the version was written, and the dictionary's parts."""
-        clock, parts = self._text(f"{self.version}/meta").split()
+        clock, parts = self._text(f"{self.version}/meta").split()[:2]
         return int(clock), int(parts)
 
     def _deltas(self) -> list[str]:
@@ -262,36 +274,73 @@ class Store:
         """
         parts = self._meta()[1] if self._exists("CURRENT") else self._term_parts
         slots = triples.select(F.explode(F.array("s", "p", "o")).alias("t"))
-        words = slots.select(*_key(slots, "t")).distinct().withColumn("h", F.pmod(F.xxhash64("lex"), F.lit(parts)).cast("int"))
-        first, have = 0, None
+        words = slots.select(hashed(F.col("t.type"), F.col("t.lex"), F.col("t.sub")).alias("id"), *_key(slots, "t")).distinct().withColumn("h", F.pmod(F.xxhash64("lex"), F.lit(parts)).cast("int"))
+        old = self.terms() if more else None
         if more:
-            top = self.terms().agg(F.max("id")).first()[0]
-            # the next free id; the ids of one insert spread over partitions of 2**33
-            first = 0 if top is None else top + 1
-            old = self.terms()
+            same = old
             if known is not None and len(known) < 1000:
-                old = old.where(F.col("h").isin(*{hash_part(x, parts) for x in known}) & F.col("lex").isin(*set(known))) if known else old.limit(0)
-            same = (words["h"] == old["h"]) & (words["type"] == old["type"]) & (words["lex"] == old["lex"]) & words["sub"].eqNullSafe(old["sub"])
-            have = old.join(words, same, "left_semi").select("id", "type", "lex", "sub")
-            words = words.join(old, same, "left_anti")
-        # ids must not change when a task runs again: they are written once, then only read
-        numbered = words.hint("rebalance", "h").sortWithinPartitions("h", "lex").select((F.monotonically_increasing_id() + first).alias("id"), "type", "lex", "sub", "h")
-        numbered.write.partitionBy("h").parquet(f"{self.path}/{at}/terms")
-        new = self._dictionary([f"{self.path}/{at}/terms"]).select("id", "type", "lex", "sub")
-        every = new if have is None else have.unionByName(new)
+                same = old.where(F.col("h").isin(*{hash_part(x, parts) for x in known}) & F.col("lex").isin(*set(known))) if known else old.limit(0)
+            words = words.join(same, (words["h"] == same["h"]) & (words["type"] == same["type"]) & (words["lex"] == same["lex"]) & words["sub"].eqNullSafe(same["sub"]), "left_anti")
+        # each task of the aggregate writes its share of every part
+        words.sortWithinPartitions("h", "lex").write.partitionBy("h").parquet(f"{self.path}/{at}/terms")
+        odd = self._odd() if more else None
+        if (new := self._apart(at, old, odd)) is not None:
+            odd = new if odd is None else odd.unionByName(new)
         out = triples
         for slot in "spo":
-            named = every.select(F.col("id").alias(f"{slot}_id"), term(F.col("type"), F.col("lex"), F.col("sub")).alias(f"{slot}_term"))
-            out = out.join(named, F.col(slot).eqNullSafe(F.col(f"{slot}_term")))
-        facts = out.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o")).distinct()
+            t = F.col(slot)
+            i = hashed(t["type"], t["lex"], t["sub"])
+            if odd is None:
+                out = out.withColumn(f"{slot}_id", i)
+            else:
+                named = odd.select(F.col("id").alias("__odd"), term(F.col("type"), F.col("lex"), F.col("sub")).alias("__term"))
+                out = out.join(named, t.eqNullSafe(F.col("__term")), "left").withColumn(f"{slot}_id", F.coalesce("__odd", i)).drop("__odd", "__term")
+        facts = out.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o"))
         if more:
             facts = facts.join(Store(self.spark, self.path).facts(), ["s", "p", "o"], "left_anti")
-        self._write_facts(facts.withColumn("created", F.lit(created).cast("long")), at)
-
-    def _write_facts(self, facts: DataFrame, at: str) -> None:
-        """Facts by predicate and their counts."""
-        # rebalanced: a hot predicate takes as many tasks as its size asks for, each task writes few predicates
-        facts.hint("rebalance", "p").sortWithinPartitions("p", "s", "o").write.partitionBy("p").parquet(f"{self.path}/{at}/facts")
+        self._write_facts(facts, at, triples.count(), created)
+
+    def _odd(self) -> DataFrame | None:
+        """Terms whose id is not their hash; None if there are none."""
+        if not self._text(f"{self.version}/meta").endswith("hashed"):
+            return self.terms().where(F.col("id") != hashed(F.col("type"), F.col("lex"), F.col("sub"))).drop("h")
+        parts = [f"{self.path}/{d}/odd" for d in (self.version, *self._deltas()) if self._exists(f"{d}/odd/_SUCCESS")]
+        return self.spark.read.schema(ODD).parquet(*parts) if parts else None
+
+    def _apart(self, at: str, old: DataFrame | None, odd: DataFrame | None) -> DataFrame | None:
+        """Gives new terms whose hash is another term's ids above all hashes; returns these, None if there are none."""
+        terms = self._dictionary([f"{self.path}/{at}/terms"])
+        clash = terms.groupBy("id").count().where("count > 1").select("id")
+        if old is not None:
+            clash = clash.union(terms.join(old, "id", "left_semi").select("id"))
+        # two terms of 3e8 have equal hashes with a chance of 1 %
+        ids = [r["id"] for r in clash.distinct().limit(MOST_ODD + 1).collect()]
+        if not ids:
+            return None
+        some = terms.join(self.spark.createDataFrame([(i,) for i in ids], "id long"), "id", "left_semi").limit(MOST_ODD + 1).collect()
+        if len(some) > MOST_ODD:
+            raise ValueError(f"more than {MOST_ODD} new terms have equal hashes")
+        top = None if odd is None else odd.agg(F.max("id")).first()[0]
+        first = max(1 << ID_BITS, 0 if top is None else top + 1)
+        rows = [(first + k, r["type"], r["lex"], r["sub"], r["h"]) for k, r in enumerate(some)]
+        self.spark.createDataFrame(rows, TERMS).select("id", "type", "lex", "sub").coalesce(1).write.parquet(f"{self.path}/{at}/odd")
+        rest = terms.join(self.spark.createDataFrame([(i,) for i in ids], "id long"), "id", "left_anti")
+        every = rest.select("id", "type", "lex", "sub", "h").unionByName(self.spark.createDataFrame(rows, TERMS))
+        every.sortWithinPartitions("h", "lex").write.partitionBy("h").parquet(f"{self.path}/{at}/terms-apart")
+        fs, before = self._hadoop(f"{at}/terms")
+        fs.delete(before, True)
+        if not fs.rename(self._hadoop(f"{at}/terms-apart")[1], before):
+            raise RuntimeError("the dictionary was not written")
+        return self.spark.read.schema(ODD).parquet(f"{self.path}/{at}/odd")
+
+    def _write_facts(self, facts: DataFrame, at: str, rows: int, created: int | None = None) -> None:
+        """Different facts by predicate and their counts. rows: an upper bound of their number. created: their time, None if they have one each."""
+        # one shuffle: a range of (p, s, o) has all copies of a fact, few predicates, and a share of a hot one
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+        ranged = facts.repartitionByRange(tasks, "p", "s", "o") if rows > TASK_ROWS else facts.repartitionByRange("p", "s", "o")
+        if created is not None:
+            ranged = ranged.distinct().withColumn("created", F.lit(created).cast("long"))
+        ranged.sortWithinPartitions("p", "s", "o").write.partitionBy("p").parquet(f"{self.path}/{at}/facts")
         written = self.spark.read.schema(FACTS).parquet(f"{self.path}/{at}/facts")
         written.groupBy("p").agg(F.count("*").alias("n"), F.approx_count_distinct("s").alias("subjects"), F.approx_count_distinct("o").alias("objects")).coalesce(1).write.parquet(f"{self.path}/{at}/stats")
 
@@ -302,7 +351,7 @@ class Store:
         write(at)
         if not self._exists(f"{at}/stats/_SUCCESS"):
             raise RuntimeError("the store was not written")
-        self._put(f"{at}/meta", f"{clock} {parts}")
+        self._put(f"{at}/meta", f"{clock} {parts} hashed")
         self._put("CURRENT", at)
         self._forget()
 
@@ -332,7 +381,7 @@ class Store:
 
     def add(self, triples: DataFrame, known: list[str] | None = None) -> None:
         """Commits (s, p, o) term columns: as the base of an empty store, else as one delta of what the store lacks."""
-        rows, now = triples.select("s", "p", "o").distinct(), self._now()
+        rows, now = triples.select("s", "p", "o"), self._now()
         if not self._deltas() and self.spark.read.schema(STATS).parquet(f"{self.path}/{self.version}/stats").isEmpty():
             self._replace(lambda at: self._encode(rows, False, at, now), now)
         else:
@@ -378,7 +427,9 @@ class Store:
 
         def write(at: str) -> None:
             whole.terms().hint("rebalance", "h").sortWithinPartitions("h", "lex").write.partitionBy("h").parquet(f"{self.path}/{at}/terms")
-            self._write_facts(facts, at)
+            if (odd := whole._odd()) is not None:
+                odd.write.parquet(f"{self.path}/{at}/odd")
+            self._write_facts(facts, at, facts.count())
 
         self._replace(write, self._now() - 1)
 
