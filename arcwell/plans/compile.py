@@ -271,6 +271,8 @@ class Plan:
         missing = [n for n in names if n not in rows.df.columns]
         rows = Rows(rows.df.select("*", *[F.lit(None).cast(TERM).alias(n) for n in missing]), rows.decoded | set(missing))
         df = op.duplicates(rows.df, names, q.mode)
+        if q.mode != "all" and set(names) - rows.decoded and hasattr(self.graph, "settled"):
+            df = self.graph.settled(df)
         rows = self._decode(Rows(df, rows.decoded), names)
         df = rows.df
         if keys:

@@ -43,6 +43,8 @@ STATS = "p long, n long, subjects long, objects long"
 ODD = "id long, type int, lex string, sub string"
 #: Bits of a term's hash, most terms of equal hashes in one commit, and triples that one task writes.
 ID_BITS, MOST_ODD, TASK_ROWS = 62, 100_000, 4_000_000
+#: Bytes from which a dictionary is not shuffled for a small result.
+LARGE = 32 << 20
 
 
 def hashed(kind: Column, lex: Column, sub: Column) -> Column:
@@ -173,12 +175,25 @@ class Store:
 
     def decode(self, df: DataFrame, names: list[str]) -> DataFrame:
         """df with the named id columns as term columns; null stays null."""
-        columns = df.columns
+        columns, settled = df.columns, df if getattr(df, "settled", False) else None
         for n in names:
-            words = self.terms().select(F.col("id").alias("__id"), term(F.col("type"), F.col("lex"), F.col("sub")).alias("__term"))
+            words = self.terms()
+            if settled is not None:
+                words = words.join(settled.select(F.col(n).alias("id")).distinct(), "id", "left_semi")
+            words = words.select(F.col("id").alias("__id"), term(F.col("type"), F.col("lex"), F.col("sub")).alias("__term"))
             df = df.join(words, F.col(n) == F.col("__id"), "left").withColumn(n, F.col("__term")).select(*columns)
         return df
 
+    def settled(self, df: DataFrame) -> DataFrame:
+        """An aggregated result, written first where the dictionary is large: Spark then knows its size, and takes a small one to the dictionary instead of shuffling that."""
+        if int(str(self.terms()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < LARGE:
+            return df
+        at = f"{self.path}/results/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        out.settled = True
+        return out
+
     def scan(self, pattern: Pattern) -> DataFrame | None:
         slots: dict = {}
         for slot, what in (("s", pattern.s), ("p", pattern.p), ("o", pattern.o)):

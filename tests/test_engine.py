@@ -483,3 +483,14 @@ def test_triples_become_ids_without_a_join(spark, tmp_path, monkeypatch):
     s = Store(spark, str(tmp_path / "s"))
     s.add(spark.range(3000).selectExpr("struct(0 as type, concat('s', id % 1500) as lex, cast(null as string) as sub) as s", "struct(0 as type, 'p' as lex, cast(null as string) as sub) as p", "struct(1 as type, 'hot' as lex, cast(null as string) as sub) as o"))
     assert not joins and s.facts().count() == 1500 and s.terms().count() == 1502
+
+
+def test_small_results_do_not_shuffle_a_large_dictionary(store, monkeypatch):
+    from arcwell import store as module
+
+    text = "select count ?y where { ?x <knows> ?y } order by desc(count) ?y"
+    want = store.query(text).collect()
+    monkeypatch.setattr(module, "LARGE", 0)
+    found = store.query(text)
+    assert found.collect() == want and len(want) > 1
+    assert "BroadcastHashJoin [id" in found._jdf.queryExecution().executedPlan().toString()
