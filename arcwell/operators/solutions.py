@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Multiplicity of a row where equal rows have been counted.
 N = "__n"
+#: Rows on each side of a cell of `spread`, rows that one of its tasks makes, and its most tasks.
+CELL, TASK_PAIRS, MOST_TASKS = 1024, 1 << 24, 100_000
 
 
 def variables(df: DataFrame) -> list[str]:
@@ -52,16 +54,57 @@ def counted(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return df.groupBy(*keep).agg(n.alias(N))
 
 
-def join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Equi-join on all shared variables, cross product where there are none; multiplicities multiply."""
+def join(a: DataFrame, b: DataFrame, how: str = "inner", wide: bool = False) -> DataFrame:
+    """Equi-join on all shared variables, cross product where there are none; multiplicities multiply. wide: an inner join that is spread."""
     shared = [v for v in variables(a) if v in variables(b)]
     both = N in a.columns and N in b.columns
     if both:
         b = b.withColumnRenamed(N, "__m")
-    out = a.join(b, shared, how) if shared else a.crossJoin(b)
+    if shared and wide:
+        out = spread(a, b, shared)
+    else:
+        out = a.join(b, shared, how) if shared else a.crossJoin(b)
     return out.withColumn(N, F.col(N) * F.col("__m")).drop("__m") if both else out
 
 
+def spread(a: DataFrame, b: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """The equi-join where few values make far more rows than come in.
+
+    The rows of a value are cut on both sides into runs of about `CELL`; each pair of
+    runs is a cell, and cells are dealt to as many tasks as the rows to be made ask for.
+    A row is copied once for each run of the other side, a thousandth of what it makes.
+    """
+    here, there = (df.groupBy(*shared).agg(F.count("*").alias(n)) for df, n in ((a, "__na"), (b, "__nb")))
+    sizes = here.join(there, list(shared))
+    made = sizes.agg(F.sum(F.col("__na").cast("decimal(38,0)") * F.col("__nb"))).first()[0] or 0
+    # fewer than the session's partitions would be dealt anew, by size of input
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-int(made) // TASK_PAIRS)))
+    runs = sizes.select(*shared, F.ceil(F.col("__na") / CELL).alias("__ka"), F.ceil(F.col("__nb") / CELL).alias("__kb"))
+
+    def side(df: DataFrame, own: str, other: str) -> DataFrame:
+        run = F.pmod(F.xxhash64(*df.columns), F.col(f"__k{own}"))
+        cut = df.join(runs, list(shared)).withColumn(f"__s{own}", run).withColumn(f"__s{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"__k{other}") - 1)))
+        return cut.drop("__ka", "__kb").repartition(tasks, *shared, "__sa", "__sb")
+
+    return side(a, "a", "b").join(side(b, "b", "a"), [*shared, "__sa", "__sb"]).drop("__sa", "__sb")
+
+
+def linked(a: DataFrame, b: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """Different rows of a join without its shared variables, made once each instead of made and sorted out.
+
+    Rows of one side with the same set of shared values are a class; the classes that
+    have a value in common are found, and then the members of each such pair are paired.
+    """
+    sides = []
+    for df, c in ((a, "__ca"), (b, "__cb")):
+        own = [v for v in df.columns if v not in shared]
+        sides.append(df.dropna(subset=list(shared)).groupBy(*own).agg(F.sort_array(F.collect_set(F.struct(*shared))).alias(c)))
+    left, right = sides
+    each = [df.select(c).distinct().withColumn("__k", F.explode(c)) for df, c in ((left, "__ca"), (right, "__cb"))]
+    pairs = each[0].join(each[1], "__k").select("__ca", "__cb").distinct()
+    return spread(left.join(pairs, "__ca"), right.join(pairs, "__cb"), ["__ca", "__cb"]).drop("__ca", "__cb")
+
+
 def optional(a: DataFrame, b: DataFrame) -> DataFrame:
     """Left outer join on all shared variables (extension); multiplicities multiply, a row without a match keeps its own.
 

@@ -23,12 +23,16 @@ from arcwell.terms import TERM, Term, rendered
 
 @dataclass
 class Options:
-    """typed: numbers compare as numbers.  indexes: use vertex lists.  reorder: order joins by estimates.  aggregate: count unused slots away."""
+    """typed: numbers compare as numbers.  indexes: use vertex lists.  reorder: order joins by estimates.  aggregate: count unused slots away.
+
+    wide: estimated rows from which a join that makes several times its input is spread over tasks.
+    """
 
     typed: bool = False
     indexes: bool = True
     reorder: bool = True
     aggregate: bool = True
+    wide: float = 2e7
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
     table_functions: dict[str, Callable] = field(default_factory=dict)
     most_steps: int = 10_000
@@ -55,6 +59,7 @@ class Plan:
         self.spark = graph.spark
         self.tree: list[str] = []
         self._used = optimizer.used(query)
+        self._unique: set[str] = set()  # variables of rows that are known to be different
 
     # representation
 
@@ -75,6 +80,31 @@ class Plan:
         a, b = self._alike(a, b)
         return Rows(how(a.df, b.df), a.decoded | b.decoded)
 
+    def _join_wide(self, a: Rows, b: Rows, group: Group, last: bool) -> Rows:
+        """A join that makes far more rows than it gets. last: only filters follow."""
+        a, b = self._alike(a, b)
+        shared = [v for v in op.variables(a.df) if v in op.variables(b.df)]
+        wanted = set(self.query.output()) | {k[1:] for k, _ in self.query.order}
+        filtered = {v for e in group.filters for v in e.variables()}
+        mode = self.query.mode
+        if not last or mode not in ("all", "distinct", "reduced"):
+            return Rows(op.join(a.df, b.df, wide=True), a.decoded | b.decoded)
+        # terms are named on the few rows before, not on the many after
+        a, b = (self._decode(x, [v for v in x.df.columns if v in wanted and v not in filtered and v not in shared]) for x in (a, b))
+        single = op.N not in a.df.columns and op.N not in b.df.columns and min(len(a.df.columns), len(b.df.columns)) > len(shared)
+        if mode != "all" and single and not set(shared) & (wanted | filtered):
+            out = op.linked(a.df, b.df, shared)
+            self._unique = set(out.columns)
+            return Rows(out, (a.decoded | b.decoded) - set(shared))
+        named = [v for v in shared if v in wanted and v not in filtered and v not in a.decoded]
+        if named:
+            twins = Rows(a.df.select("*", *[F.col(v).alias(f"__t_{v}") for v in named]), a.decoded)
+            a = self._decode(twins, [f"__t_{v}" for v in named])
+        out = op.join(a.df, b.df, wide=True)
+        if named:
+            out = out.drop(*named).withColumnsRenamed({f"__t_{v}": v for v in named})
+        return Rows(out, (a.decoded | b.decoded | set(named)) - {f"__t_{v}" for v in named})
+
     def _note(self, depth: int, text: str) -> None:
         self.tree.append("  " * depth + text)
 
@@ -118,14 +148,23 @@ class Plan:
         if self.options.reorder:
             patterns = optimizer.order(patterns, self.graph.size)
         rows: Rows | None = None
-        for p in patterns:
+        so_far: optimizer.Size | None = None
+        alone = depth == 0 and not (group.unions or group.reaches or group.functions or group.optionals)
+        for k, p in enumerate(patterns):
             found = self._scan(p, depth + 1)
             if found is not None and self.options.reorder and len(patterns) > 1:
                 self.tree[-1] += f" ~{self.graph.size(p).rows:.0f} rows"
             if found is None:
                 self._note(depth + 1, f"empty {_shown(p)}")
                 return None
-            rows = self._join(rows, found)
+            own = self.graph.size(p) if len(patterns) > 1 else None
+            both = so_far.joined(own) if so_far is not None else own
+            if so_far is not None and so_far.values.keys() & own.values.keys() and both.rows >= self.options.wide and both.rows > 4 * max(so_far.rows, own.rows):
+                self._note(depth + 1, f"spread join ~{both.rows:.0f} rows")
+                rows = self._join_wide(rows, found, group, alone and k == len(patterns) - 1)
+            else:
+                rows = self._join(rows, found)
+            so_far = both
         for branches in group.unions:
             self._note(depth + 1, f"union of {len(branches)}")
             parts = [x for b in branches if (x := self.group(b, depth + 1)) is not None]
@@ -270,7 +309,7 @@ class Plan:
             rows = Rows(op.empty(self.spark, names, TERM), set(names))
         missing = [n for n in names if n not in rows.df.columns]
         rows = Rows(rows.df.select("*", *[F.lit(None).cast(TERM).alias(n) for n in missing]), rows.decoded | set(missing))
-        df = op.duplicates(rows.df, names, q.mode)
+        df = rows.df.select(*names) if q.mode in ("distinct", "reduced") and self._unique == set(names) else op.duplicates(rows.df, names, q.mode)
         if q.mode != "all" and set(names) - rows.decoded and hasattr(self.graph, "settled"):
             df = self.graph.settled(df)
         rows = self._decode(Rows(df, rows.decoded), names)

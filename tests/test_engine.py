@@ -494,3 +494,29 @@ def test_small_results_do_not_shuffle_a_large_dictionary(store, monkeypatch):
     found = store.query(text)
     assert found.collect() == want and len(want) > 1
     assert "BroadcastHashJoin [id" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spread_joins(spark, store, monkeypatch):
+    """Joins that make more than they get: the same rows, in cells of a bounded size, over as many tasks as the rows ask for."""
+    import dataclasses
+
+    from pyspark.sql import functions as F
+
+    from arcwell.operators import solutions as op
+    from arcwell.plans import optimizer
+
+    monkeypatch.setattr(op, "CELL", 2)
+    monkeypatch.setattr(op, "TASK_PAIRS", 500)
+    a = spark.range(300).selectExpr("id as x", "if(id < 250, 0, id % 7) as n").union(spark.sql("select 5L, cast(null as bigint)"))
+    b = spark.range(200).selectExpr("id % 150 as y", "if(id < 90, 0, id % 5) as n")
+    cells = op.spread(a, b, ["n"])
+    assert Counter(map(tuple, cells.collect())) == Counter(map(tuple, a.join(b, "n").collect()))
+    sizes = [r[0] for r in cells.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert cells.rdd.getNumPartitions() > 20 and max(sizes) < 0.25 * sum(sizes)
+    some = op.linked(a, b, ["n"])
+    assert Counter(map(tuple, some.collect())) == Counter(map(tuple, a.join(b, "n").select("x", "y").distinct().collect()))
+    # a plan takes them where its estimates say so
+    monkeypatch.setattr(optimizer.Size, "joined", lambda self, other: dataclasses.replace(self, rows=1e9, values=self.values | other.values))
+    for text in ("select ?a ?x ?b where { ?a <knows> ?x . ?b <knows> ?x }", "select distinct ?a ?b where { ?a <knows> ?x . ?b <knows> ?x . filter(?a != ?b) }", "select distinct ?a where { ?a <knows> ?x . ?b <knows> ?x }", "select count ?x where { ?a <knows> ?x . ?b <knows> ?x }", "select distinct ?a ?x ?l where { ?a <knows> ?x . ?b <knows> ?x . ?a <label> ?l }"):
+        assert got(store.query(text)) == answer(text, GRAPH)
+        assert "spread join" in store.explain(text)
